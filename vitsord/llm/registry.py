@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sentences
+from . import language, sentences
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": sentences.p1_found}
+    return {
+        "p1_found": sentences.p1_found,
+        "p2_found": language.p2_found,
+        "p2_labels": language.p2_labels,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
