@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, sentences, splitting
+from . import language, pii, sentences, splitting
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_found": sentences.p1_found,
         "p2_found": language.p2_found,
         "p2_labels": language.p2_labels,
+        "p4_found": pii.p4_found,
+        "p4_redacted": pii.p4_redacted,
         "p3_found": splitting.p3_found,
         "p3_pieces": splitting.p3_pieces,
     }
