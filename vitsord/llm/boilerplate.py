@@ -49,9 +49,9 @@ def _site_words(url: str | None) -> set[str]:
     return {x for x in host.split(".") if len(x) > 3 and x not in ("www", "example", "test", "invalid")}
 
 
-def line_paths(text: str, url: str | None) -> list[tuple[int, str, str, int, float, int]]:
+def line_paths(text: str, url: str | None, agency: str | None = None) -> list[tuple[int, str, str, int, float, int]]:
     """(line number, path, coarse path, length, closing marks, block) of each non-blank line."""
-    site = _site_words(url)
+    site = _site_words(url) | {_folded(x) for x in (agency or "").split() if len(x) > 3}
     out = []
     zone, block, blank = "head", 0, True
     for no, raw in enumerate(text.split("\n")):
@@ -89,10 +89,10 @@ def path_counts(documents: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sums: dict[str, list[float]] = {}
-            for url, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for url, text, agency in zip(*(c.to_pylist() for c in batch.columns)):
                 plain = not url
                 seen: set[str] = set()
-                for _, path, coarse, length, ends, _ in line_paths(text or "", url):
+                for _, path, coarse, length, ends, _ in line_paths(text or "", url, agency):
                     for p in (path, "=" + coarse):
                         if not p:
                             continue
@@ -107,7 +107,7 @@ def path_counts(documents: DataFrame) -> DataFrame:
             keys = list(sums)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([sums[k][i] for k in keys], pa.float64()) for i in range(5))], names=["path", "web", "plain", "n", "length", "ends"])
 
-    sums = documents.select("url", "text").mapInArrow(count, "path string, web double, plain double, n double, length double, ends double")
+    sums = documents.select("url", "text", "agency").mapInArrow(count, "path string, web double, plain double, n double, length double, ends double")
     return sums.groupBy("path").agg(*(F.sum(c).alias(c) for c in ("web", "plain", "n", "length", "ends")))
 
 
@@ -158,9 +158,9 @@ class PathRatios:
                 self.known[key] = self._fuse(row, self.coarse_alone.get(coarse, 0.5)), 0.3 * PRIOR / (PRIOR + row[0] + row[1])
         return self.known[key]
 
-    def furniture(self, text: str, url: str | None) -> list[int]:
+    def furniture(self, text: str, url: str | None, agency: str | None = None) -> list[int]:
         """Numbers of the lines that are not main content."""
-        lines = line_paths(text, url)
+        lines = line_paths(text, url, agency)
         own = [self.value(path, coarse) for _, path, coarse, *_ in lines]
         out = []
         for i, (no, _, coarse, _, _, block) in enumerate(lines):
@@ -182,16 +182,16 @@ def fit(documents: DataFrame) -> PathRatios:
 
 
 def with_furniture(documents: DataFrame, ratios: PathRatios) -> DataFrame:
-    """(doc_id, url, text) -> (doc_id, text, lines) with the numbers of the lines that are not main content."""
+    """(doc_id, url, text, agency) -> (doc_id, text, lines) with the numbers of the lines that are not main content."""
     shared = documents.sparkSession.sparkContext.broadcast(pickle.dumps(ratios))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = pickle.loads(shared.value)
         for batch in batches:
-            lines = [r.furniture(t, u) if t and u else [] for u, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            lines = [r.furniture(t, u, a) if t and u else [] for u, t, a in zip(*(c.to_pylist() for c in batch.columns[1:]))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(lines, pa.list_(pa.int32()))], names=["doc_id", "text", "lines"])
 
-    return documents.select("doc_id", "url", "text").mapInArrow(run, "doc_id string, text string, lines array<int>")
+    return documents.select("doc_id", "url", "text", "agency").mapInArrow(run, "doc_id string, text string, lines array<int>")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
