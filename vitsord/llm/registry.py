@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boilerplate, language, pii, sentences, splitting
+from . import boilerplate, language, leakage, pii, sentences, splitting
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_labels": language.p2_labels,
         "p4_found": pii.p4_found,
         "p4_redacted": pii.p4_redacted,
+        "p6_found": leakage.p6_found,
+        "p6_items": leakage.p6_items,
         "p5_found": boilerplate.p5_found,
         "p5_content": boilerplate.p5_content,
         "p3_found": splitting.p3_found,
