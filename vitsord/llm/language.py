@@ -93,7 +93,7 @@ def pieces(text: str | None) -> list[tuple[str, str]]:
     """(clause, the break before it) of a question in reading order, without contact details; a clause may be part of a sentence."""
     if not text:
         return []
-    text = _CONTACT.sub(" ", text)
+    text = _CONTACT.sub(" ", unicodedata.normalize("NFC", text))
     out, at, kind = [], 0, "end"
     for m in (_SPLIT_SCRIPTS if _OTHER_SCRIPT.search(text) else _SPLIT).finditer(text):
         out.append((text[at : m.start()], kind))

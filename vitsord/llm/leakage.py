@@ -48,6 +48,8 @@ def words(text: str) -> tuple[list[str], list[int]]:
     plain = text
     if "&" in plain or "<" in plain or "[" in plain or "\n" in plain:
         plain = _BROKEN.sub("", _TAG.sub(" ", html.unescape(text)))
+    if not unicodedata.is_normalized("NFC", plain):
+        plain = unicodedata.normalize("NFC", plain)
     same = len(plain) == len(text)
     out, places = [], []
     for m in _WORD.finditer(plain):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boilerplate, language, leakage, pii, sentences, splitting
+from . import boilerplate, language, leakage, mixing, pii, sentences, splitting
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_redacted": pii.p4_redacted,
         "p6_found": leakage.p6_found,
         "p6_items": leakage.p6_items,
+        "p7_mix": mixing.p7_mix,
+        "p7_shares": mixing.p7_shares,
         "p5_found": boilerplate.p5_found,
         "p5_content": boilerplate.p5_content,
         "p3_found": splitting.p3_found,
