@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boilerplate, language, leakage, mixing, pii, sentences, splitting
+from . import boilerplate, language, leakage, mixing, pii, sentences, splitting, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_items": leakage.p6_items,
         "p7_mix": mixing.p7_mix,
         "p7_shares": mixing.p7_shares,
+        "p8_found": toxicity.p8_found,
+        "p8_scores": toxicity.p8_scores,
+        "p8_rates": toxicity.p8_rates,
         "p5_found": boilerplate.p5_found,
         "p5_content": boilerplate.p5_content,
         "p3_found": splitting.p3_found,
