@@ -5,8 +5,8 @@ category; a window (a sentence) that compresses better with a category's diction
 ordinary length, has that gain as its score, and a document has the score of its highest window. Thresholds are calibrated on
 labelled documents that the dictionaries have not seen.
 
-Labels are of whole documents, so the windows that belong to a category are found first: those of its documents that the ordinary
-dictionary compresses unusually badly, each given to the category whose dictionary shortens it most, in ``ROUNDS`` rounds.
+Labels are of whole documents, so the windows that train a category are found first: windows of its documents that the ordinary
+dictionary does not cover and whose word pairs stand far more often in documents of the category than in ordinary ones.
 
 Fit: on at most ``FIT_DOCS`` labelled documents, chosen by hash. Every document is scored whole, once per distinct window.
 
@@ -20,7 +20,8 @@ from __future__ import annotations
 import pickle
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +35,16 @@ from .mixing import clean_source
 CATEGORIES = ("abusive", "hateful", "sexual")
 #: Most labelled documents the dictionaries are trained on.
 FIT_DOCS = 12_000
-ROUNDS = 3
+#: Share of its length above which a window is not covered by the ordinary dictionary, and lifts of ordinary and of toxic windows.
+UNCOVERED, ORDINARY_LIFT, TOXIC_LIFT = 0.3, 0.92, 0.92
 #: Characters below which a sentence is read together with the next one.
 SHORTEST = 16
+#: Characters above which it is read in overlapping runs of words.
+LONGEST = 170
 LEVEL = 12
 ORDINARY_BYTES, REST_BYTES, CATEGORY_BYTES = 220_000, 300_000, 80_000
 
-_SENTENCE = re.compile(r"(?<=[^\W\d_]{3}[.!?…])[\"”»’)\]]*\s+|(?<=[。！？؟।!?])[\"”»’)\]]*\s+|\n+|(?<=[a-zåäö][.!?])(?=[A-ZÅÄÖ])|(?<=[。！？।])")
+_SENTENCE = re.compile(r"(?<=[^\W\d_]{2}[.!?…])[\"”»’)\]]*\s+|(?<=[。！？؟।!?])[\"”»’)\]]*\s+|\n+|(?<=[a-zåäö][.!?])(?=[A-ZÅÄÖ])|(?<=[。！？।])")
 _HIDDEN = re.compile("[​‌‍­⁠﻿]")
 _SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?!\w)")
 _REPEATED = re.compile(r"([^\W\d_])\1{2,}")
@@ -60,13 +64,23 @@ def windows(text: str | None) -> list[str]:
             if len(s) < SHORTEST:  # too little to compress: read together with what follows
                 short = s + " "
             else:
-                out.append(normalised(s))
+                out += _parts(normalised(s))
                 short = ""
     if short:
         out.append(normalised(short))
     return out
 
 
+def _parts(window: str) -> list[str]:
+    """A long stretch without sentence marks as overlapping runs of words, so that a short insult in it is not outweighed."""
+    if len(window) <= LONGEST:
+        return [window]
+    words = window.split()
+    if len(words) < 18:
+        return [window]
+    return [" ".join(words[i : i + 14]) for i in range(0, len(words) - 7, 7)]
+
+
 def normalised(sentence: str) -> str:
     s = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m.group()), sentence).lower()
     s = _LEET.sub(lambda m: _LEET_LETTERS[m.group()], s)
@@ -140,60 +154,77 @@ class ToxicModel:
         return [round(x, 4) for x in best]
 
 
-def _ordinary(known: set[str]) -> bytes:
-    """The ordinary dictionary: what training picks, and before it the windows that this does not cover, as of rare languages."""
-    picked = _dictionary(sorted(known), ORDINARY_BYTES)
-    base = Compressors([picked])
-    empty = base.lengths("")[0]
-    rest = sorted(w for w in known if (base.lengths(w)[0] - empty) / (len(w.encode()) + 1) > 0.3)
-    return ("\n".join(rest)).encode()[-REST_BYTES:] + b"\n" + picked
+def _grams(window: str) -> set[str]:
+    """Word pairs, or letters by threes where there are few spaces."""
+    words = window.split()
+    if len(words) < 3:
+        return {window[i : i + 3] for i in range(max(1, len(window) - 2))}
+    return {f"{a} {b}" for a, b in zip(words, words[1:])}
 
 
-def fit_model(labelled: list[tuple[str, frozenset[str]]]) -> ToxicModel:
-    """From (text, labels) of documents; labels may be wrong and leave categories out."""
-    train = [x for i, x in enumerate(labelled) if i % 4]
-    held = [x for i, x in enumerate(labelled) if i % 4 == 0]
-    ordinary = [w for t, labels in train if labels <= {"none"} for w in windows(t)]
-    if not ordinary or not any(labels & set(CATEGORIES) for _, labels in train):
-        return ToxicModel(None, [2.0] * len(CATEGORIES))
-    known = set(ordinary)
-    base = Compressors([_dictionary(sorted(known), ORDINARY_BYTES)])
+class Lift:
+    """How much more often a window's grams stand in documents of a category than in ordinary ones."""
+
+    def __init__(self, documents: list[tuple[list[str], frozenset[str]]]):
+        self.counts: dict[str, Counter] = {c: Counter() for c in ("none", "any", *CATEGORIES)}
+        self.sizes: Counter = Counter()
+        for found, labels in documents:
+            grams = {g for w in found for g in _grams(w)}
+            kinds = ["none"] if labels <= {"none"} else ["any", *(c for c in CATEGORIES if c in labels)]
+            for k in kinds:
+                self.sizes[k] += 1
+                self.counts[k].update(grams)
+
+    def toxic(self, window: str, own: int = 0) -> float:
+        """Near 1 for what stands in toxic documents only, 0.5 for what stands anywhere; ``own`` toxic documents are left out."""
+        r = self.sizes["any"] / max(1, self.sizes["none"])
+        t, o = self.counts["any"], self.counts["none"]
+        parts = sorted((max(0, t[g] - own) + r / 2) / (max(0, t[g] - own) + r / 2 + (o[g] + 0.5) * r) for g in _grams(window))
+        parts = parts[len(parts) // 2 :]  # the more telling half: a toxic sentence also has common words
+        return sum(parts) / len(parts)
 
+    def category(self, window: str) -> int:
+        """The category in whose documents the window's grams are most frequent."""
+        grams = _grams(window)
+        return int(np.argmax([sum(self.counts[c][g] for g in grams) / max(1, self.sizes[c]) for c in CATEGORIES]))
+
+
+def _novelty(base: Compressors) -> Callable[[str], float]:
     empty = base.lengths("")[0]
+    return lambda w: (base.lengths(w)[0] - empty) / (len(w.encode()) + 1)
 
-    def novelty(w: str) -> float:
-        return (base.lengths(w)[0] - empty) / (len(w.encode()) + 1)
-
-    usual = sorted(novelty(w) for t, labels in held if labels <= {"none"} for w in windows(t)) or [0.5]
-    bound, middle = usual[int(0.95 * (len(usual) - 1))], usual[int(0.75 * (len(usual) - 1))]
-    pool: dict[str, int] = {}
-    for t, labels in train:
-        for k, c in enumerate(CATEGORIES):
-            if c in labels:
-                # the strangest window of the document, and any other that is strange among ordinary ones
-                ranked = sorted(((novelty(w), w) for w in windows(t) if w not in known), reverse=True)
-                for i, (strange, w) in enumerate(ranked):
-                    if strange > bound or i == 0 and strange > middle:
-                        pool.setdefault(w, k)
-    given = dict(pool)
-    for turn in range(ROUNDS):
-        sides = [sorted(w for w, k in given.items() if k == c) for c in range(len(CATEGORIES))]
-        if not all(sides):
+
+def _ordinary(known: list[str], rng: np.random.Generator) -> bytes:
+    """The ordinary dictionary: what training picks, and of what that does not cover, as of rare languages, samples until little is left."""
+    content = _dictionary(known, ORDINARY_BYTES)
+    for _ in range(6):
+        novelty = _novelty(Compressors([content]))
+        rest = [w for w in known if novelty(w) > UNCOVERED]
+        if len(content) > ORDINARY_BYTES + REST_BYTES or len(rest) < 5:
             break
-        # a window is judged by dictionaries of the other half, so that its own copy does not speak for it
-        halves = [Compressors([base.dictionaries[0], *(_dictionary(s[h::2] or s, CATEGORY_BYTES) for s in sides)]) for h in (0, 1)]
-        place = {w: i % 2 for s in sides for i, w in enumerate(s)}
-        new = {}
-        for w in pool:
-            o, *others = halves[1 - place.get(w, 0)].lengths(w)
-            k = int(np.argmin(others))
-            if others[k] < o:
-                new[w] = k
-            elif turn < ROUNDS - 1:  # at last, what no other window of the pool supports is left out
-                new[w] = pool[w]
-        given = new
-    sides = [sorted(w for w, k in given.items() if k == c) for c in range(len(CATEGORIES))]
-    model = ToxicModel(Compressors([base.dictionaries[0], *(_dictionary(s, CATEGORY_BYTES) for s in sides)]), [0.2] * len(CATEGORIES))
+        some = rng.choice(len(rest), min(len(rest), 400), replace=False)
+        content = "\n".join(rest[i] for i in sorted(some)).encode() + b"\n" + content
+    return content
+
+
+def fit_model(labelled: list[tuple[str, frozenset[str]]]) -> ToxicModel:
+    """From (text, labels) of documents; labels may be wrong and leave categories out."""
+    train = [(windows(t), labels) for i, (t, labels) in enumerate(labelled) if i % 4]
+    held = [(t, labels) for i, (t, labels) in enumerate(labelled) if i % 4 == 0]
+    if not any(labels <= {"none"} for _, labels in train) or not any(labels & set(CATEGORIES) for _, labels in train):
+        return ToxicModel(None, [2.0] * len(CATEGORIES))
+    lift = Lift(train)
+    # a document rated as ordinary by mistake must not bring its windows into the ordinary dictionary
+    known = sorted({w for found, labels in train if labels <= {"none"} for w in found if lift.toxic(w) < ORDINARY_LIFT})
+    base = _ordinary(known, np.random.default_rng(5))
+    novelty = _novelty(Compressors([base]))
+    sides: list[set[str]] = [set() for _ in CATEGORIES]
+    for found, labels in train:
+        if not labels <= {"none"}:
+            for w in found:
+                if lift.toxic(w, own=1) > TOXIC_LIFT and novelty(w) > UNCOVERED:
+                    sides[lift.category(w)].add(w)
+    model = ToxicModel(Compressors([base, *(_dictionary(sorted(s), CATEGORY_BYTES) for s in sides)]), [0.2] * len(CATEGORIES))
     for k, c in enumerate(CATEGORIES):
         # a document with another category's label may have this one too, unlabelled: it is no counterexample
         cases = [(model.scores(t)[k], c in labels) for t, labels in held if c in labels or labels <= {"none"}]
