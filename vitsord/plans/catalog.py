@@ -42,17 +42,23 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stated query set: every evaluation question whose number is divisible by 100."""
-    number = F.substring("id", 2, 20).cast("long")
-    return table(spark, sf_dir, "eval_dataset").where(number % 100 == 0).select(F.col("id").alias("qid"), "question").dropDuplicates(["qid"])
+    """The stated query set: the question of every request whose id is divisible by 100."""
+    asked = table(spark, sf_dir, "ask_requests").where((F.col("request_id") % 100 == 0) & F.col("question").isNotNull())
+    return asked.groupBy(F.col("request_id").alias("qid")).agg(F.min("question").alias("question"))
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every evaluation question with the documents it expects."""
+    return table(spark, sf_dir, "eval_dataset").groupBy(F.col("id").alias("qid")).agg(F.min("question").alias("question"), F.min("expected_docs").alias("expected_docs"), F.max("answerable").alias("answerable"))
 
 
 _CHUNKS_SQL = "(SELECT chunk_id, any_value(doc_id) AS doc_id, any_value(title) AS title, any_value(section) AS section, any_value(text) AS text FROM chunks GROUP BY chunk_id)"
 _HEADER_SQL = "CASE WHEN coalesce(section, '') <> '' AND coalesce(section, '') <> coalesce(title, '') THEN coalesce(title, '') || ' > ' || section ELSE coalesce(title, '') END"
 _GLOSS_SQL = ", ".join(f"('{a}', '{b}')" for a, b in tx.glossary_rows())
 _STOP_SQL = "[" + ", ".join(f"'{w}'" for w in tx.STOP) + "]"
+_ASKED_SQL = "SELECT request_id AS qid, min(question) AS question FROM ask_requests WHERE request_id % 100 = 0 AND question IS NOT NULL GROUP BY request_id"
 _BM25_SQL = f"""
-WITH q AS (SELECT id AS qid, any_value(question) AS question FROM eval_dataset WHERE CAST(substr(id, 2) AS BIGINT) % 100 = 0 GROUP BY id),
+WITH q AS ({_ASKED_SQL}),
 tok AS (SELECT DISTINCT qid, unnest({tx.sql_tokens('question')}) AS token FROM q),
 kept AS (SELECT qid, token, {tx.sql_stem('token')} AS term FROM tok WHERE NOT list_contains({_STOP_SQL}, token) AND (length(token) > 1 OR regexp_full_match(token, '\\p{{Nd}}+'))),
 gloss(token, gloss) AS (VALUES {_GLOSS_SQL}),
@@ -99,16 +105,14 @@ def retrieval_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.confidence(covered).select("qid", F.round("confidence", 6).alias("confidence"))
 
 
-@query(_BM25_SQL + """, e AS (SELECT id AS qid, any_value(expected_docs) AS expected_docs, any_value(answerable) AS answerable FROM eval_dataset GROUP BY id),
-f AS (SELECT q.qid, e.answerable, min(CASE WHEN list_contains(e.expected_docs, c.doc_id) THEN r.rank END) AS r FROM q JOIN e USING (qid) LEFT JOIN (SELECT * FROM ranked WHERE rank <= 5) r USING (qid) LEFT JOIN (SELECT DISTINCT chunk_id, doc_id FROM chunks) c USING (chunk_id) GROUP BY ALL)
-SELECT count(*) AS answerable, round(count(r) / greatest(1, count(*)), 6) AS recall_at_5, round(coalesce(sum(1.0 / r), 0) / greatest(1, count(*)), 6) AS mrr FROM f WHERE answerable""")
+@query(_BM25_SQL.replace(_ASKED_SQL, "SELECT id AS qid, min(question) AS question FROM eval_dataset GROUP BY id") + """, e AS (SELECT id AS qid, min(expected_docs) AS expected_docs, max(answerable) AS answerable FROM eval_dataset GROUP BY id),
+f AS (SELECT e.qid, min(CASE WHEN list_contains(e.expected_docs, c.doc_id) THEN r.rank END) AS r FROM e LEFT JOIN (SELECT * FROM ranked WHERE rank <= 5) r USING (qid) LEFT JOIN (SELECT DISTINCT chunk_id, doc_id FROM chunks) c USING (chunk_id) WHERE e.answerable GROUP BY e.qid)
+SELECT count(*) AS answerable, round(count(r) / greatest(1, count(*)), 6) AS recall_at_5, round(coalesce(sum(1.0 / r), 0) / greatest(1, count(*)), 6) AS mrr FROM f""")
 def retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall at 5 and mean reciprocal rank of the expected documents over answerable questions."""
-    chunks = spread(table(spark, sf_dir, "chunks"))
-    hits = retrieve.search(_questions(spark, sf_dir), chunks, 5).join(chunks.select("chunk_id", "doc_id").dropDuplicates(), "chunk_id")
-    items = table(spark, sf_dir, "eval_dataset").dropDuplicates(["id"]).select(F.col("id").alias("qid"), "expected_docs", "answerable")
-    asked = _questions(spark, sf_dir).select("qid").join(items, "qid").where("answerable")
-    first = asked.join(hits, "qid", "left").groupBy("qid").agg(F.min(F.when(F.array_contains("expected_docs", F.col("doc_id")), F.col("rank"))).alias("r"))
+    """Recall at 5 and mean reciprocal rank of the expected documents over all answerable evaluation questions."""
+    chunks, items = spread(table(spark, sf_dir, "chunks")), _items(spark, sf_dir)
+    hits = retrieve.search(items.select("qid", "question"), chunks, 5).join(chunks.select("chunk_id", "doc_id").dropDuplicates(), "chunk_id")
+    first = items.where("answerable").join(hits.select("qid", "rank", "doc_id"), "qid", "left").groupBy("qid").agg(F.min(F.when(F.array_contains("expected_docs", F.col("doc_id")), F.col("rank"))).alias("r"))
     n = F.greatest(F.count("*"), F.lit(1))
     return first.agg(F.count("*").alias("answerable"), F.round(F.count("r") / n, 6).alias("recall_at_5"), F.round(F.coalesce(F.sum(1.0 / F.col("r")), F.lit(0.0)) / n, 6).alias("mrr"))
 
