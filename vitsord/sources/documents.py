@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words to which paragraphs are packed; a longer paragraph stays whole.
 MAX_WORDS = 160
@@ -66,7 +67,7 @@ class _Markdown(HTMLParser):
             self.out.append(data)
 
 
-@F.pandas_udf("struct<title: string, body: string>")
+@F.pandas_udf(T.StructType([T.StructField("title", T.StringType()), T.StructField("body", T.StringType())]))
 def html_to_markdown(pages: pd.Series) -> pd.DataFrame:
     """Title and text of HTML pages; there is no built-in HTML parser. White space is left to ``tidy``."""
     titles, bodies = [], []
