@@ -1,0 +1,184 @@
+import random
+
+import numpy as np
+import pytest
+
+from vitsord.llm import boilerplate, language, leakage, mixing, pii, sentences, splitting, toxicity
+
+
+@pytest.fixture(scope="module")
+def boundary_model(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    return sentences.fit([x.select("text") for x in sentences.corpus_texts(spark, sf_dir)])
+
+
+def cut(model, text):
+    flat = sentences.units(model, [text])[0]
+    return [text[a:b] for a, b in zip(flat[::2], flat[1::2])]
+
+
+def test_units(boundary_model):
+    m = boundary_model
+    assert cut(m, "Dörren stängs kl. 17 e.m. Stödet lämnas i högst sex månader per ärende. [2]") == ["Dörren stängs kl. 17 e.m.", "Stödet lämnas i högst sex månader per ärende. [2]"]
+    assert cut(m, "- Fill in part A.\n1. Map of the plot") == ["- Fill in part A.", "1. Map of the plot"]
+    assert cut(m, "您忘记表格了吗？我们晚上不打电话！") == ["您忘记表格了吗？", "我们晚上不打电话！"]
+    assert cut(m, " \n\t") == []
+
+
+def test_units_cover_all_that_is_no_space(boundary_model, spark):
+    texts = [r["text"] for df in sentences.corpus_texts(spark, "/root/testdata/sf0.001") for r in df.select("text").collect() if r["text"]]
+    for text, flat in zip(texts, sentences.units(boundary_model, texts)):
+        inside = set()
+        for a, b in zip(flat[::2], flat[1::2]):
+            assert a < b and not text[a].isspace() and not text[b - 1].isspace() and "\n" not in text[a:b]
+            assert not inside & set(range(a, b))
+            inside |= set(range(a, b))
+        assert all(c.isspace() for i, c in enumerate(text) if i not in inside)
+
+
+def test_forward_backward_equals_all_paths():
+    model = sentences.BoundaryModel({("LB", "a.", "-"): 3.0, ("LN", "b.", "B"): 2.0, ("LB", "b.", "N"): 4.0, ("BR", "X"): 5.0, ("NR", "y"): 4.0})
+    gaps = [(1, 2, "a.", "b.", 1), (3, 4, "b.", "X", 0), (5, 6, "a.", "y", 0)]
+    got = sentences.posteriors(model, [gaps])[0]
+    total, ones = 0.0, np.zeros(3)
+    for path in range(8):
+        bits, p = [(path >> i) & 1 for i in range(3)], 1.0
+        for i, g in enumerate(gaps):
+            context = 0 if i == 0 else (1 if bits[i - 1] else 2)
+            p *= np.exp(model.factors(g[2], g[3])[context, bits[i]])
+        total += p
+        ones += p * np.array(bits)
+    assert np.allclose(got, ones / total)
+
+
+def test_languages():
+    base = {
+        "sv": ["Jag vill gärna veta hur jag ansöker om stöd.", "Du måste skicka blanketten till kontoret.", "När öppnar ni på måndag morgon?"],
+        "en": ["I would like to know how to apply for support.", "You must send the form to the office.", "When do you open on Monday morning?"],
+        "fi": ["Haluaisin tietää miten haen tukea.", "Sinun on lähetettävä lomake toimistoon.", "Milloin avaatte maanantaina aamulla?"],
+    }
+    model = language.fit_model([(k, t) for k, v in base.items() for t in v])
+    assert [x for x, _ in model.segments("How do I send the form to the office?")] == ["en"]
+    assert [x for x, _ in model.segments("Hur skickar jag blanketten till kontoret? You must send the form to the office.")] == ["sv", "en"]
+    assert model.segments("12:30 / 14:00") == [("und", 0.0)]
+
+
+def test_language_codes(spark):
+    df = spark.createDataFrame([("sv-SE",), (" EN",), ("suomi",), ("xx",), (None,), ("no",)], "lang string")
+    assert [r[0] for r in df.select(language.language_code("lang")).collect()] == ["sv", "en", "fi", None, None, "nb"]
+
+
+def test_pieces_round_trip(boundary_model):
+    rng = random.Random(3)
+    for _ in range(60):
+        text = "".join(rng.choice(["ord ", "x" * rng.randint(1, 60), ". ", "\n\n", "\n", "## A\n", "å", " "]) for _ in range(rng.randint(1, 300)))
+        most, overlap = rng.choice([(40, 5), (100, 20), (64, 0)])
+        if len(text) <= most:
+            continue
+        spans = splitting.pack(splitting.atoms(text, 0, len(text), most - overlap, 0, False, boundary_model), most, overlap)
+        assert spans[0][0] == 0 and spans[-1][1] == len(text)
+        assert all(0 < b - a <= most for a, b in spans)
+        assert all(y[0] == x[1] - overlap for x, y in zip(spans, spans[1:]))
+        assert text == text[: spans[0][1]] + "".join(text[x[1] : y[1]] for x, y in zip(spans, spans[1:]))
+
+
+def test_cut_levels(boundary_model):
+    level = lambda t: splitting.cut_level(t, 40, False, boundary_model)
+    assert level("a b\n\n" * 30) == "paragraph"
+    assert level("word " * 60) == "word"
+    assert level("x" * 90) == "character"
+
+
+def test_checks_of_personal_numbers():
+    assert pii.luhn("8112189876") and not pii.luhn("8112189875")
+    assert pii.identity_date("8112189876") and pii.identity_date("197010632391") and not pii.identity_date("8113189876")
+    assert pii.iban_ok("SE45 5000 0000 0583 9825 7466") and not pii.iban_ok("SE46 5000 0000 0583 9825 7466")
+
+
+@pytest.fixture(scope="module")
+def finder(spark):
+    return pii.fit(spark, "/root/testdata/sf0.01")
+
+
+def test_personal_information(finder):
+    text = "Skriv till anna.b (at) mail.test eller 070-174 06 05. Jag bor på Storgatan 5 B, 123 45 Mossvik. Mitt personnummer är 811218-9876. Björkvägen är avstängd. Tåg 1234-5678 var sent."
+    found = finder.items([text])[0]
+    assert [(text[a:b], k) for a, b, k in found] == [("anna.b (at) mail.test", "email"), ("070-174 06 05", "phone"), ("Storgatan 5 B, 123 45 Mossvik", "address"), ("811218-9876", "identity_number")]
+    assert pii.redact(text, found).startswith("Skriv till [EMAIL] eller [PHONE]. Jag bor på [ADDRESS]. Mitt personnummer är [IDENTITY_NUMBER].")
+    assert finder.items([None, "", "[EMAIL] [PHONE]"]) == [[], [], []]
+
+
+def test_exported_trees_score_as_spark_does(spark):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rng = random.Random(1)
+    rows = [(float(x[0] + x[1] > 1), x) for x in ([rng.random(), rng.random(), rng.random()] for _ in range(300))]
+    df = spark.createDataFrame(rows, "label double, f array<double>").select("label", "f", array_to_vector("f").alias("features"))
+    model = GBTClassifier(maxIter=5, maxDepth=3, seed=1).fit(df)
+    theirs = [r["p"] for r in model.transform(df).select(vector_to_array("probability")[1].alias("p")).collect()]
+    mine = pii.Trees(model.toDebugString).score(np.array([x for _, x in rows]))
+    assert np.allclose(theirs, mine, atol=1e-6)
+
+
+def test_page_content(spark):
+    menu = "Start\nOm oss\nPress\n\n# T{0}\n\n{1} är sidans egen text. Den är lång nog och har punkter.\n\nSkriv ut sidan\n\n© 2024 Verket\nFölj oss"
+    pages = [(f"p{i}", f"https://v{i % 3}.example/{i}", menu.format(i, "ab" * (i + 1)), None) for i in range(40)] + [(f"m{i}", "", "# M\n\n" + "cd" * (i + 1) + " är sidans egen text. Den är lång nog och har punkter.", None) for i in range(16)]
+    df = spark.createDataFrame(pages, "doc_id string, url string, text string, agency string")
+    ratios = boilerplate.fit(df)
+    lines = ratios.furniture(menu.format(7, "ab" * 8), "https://v1.example/7")
+    assert lines == [0, 1, 2, 8, 10, 11]
+
+
+def test_alignment_equals_plain_smith_waterman():
+    rng = random.Random(4)
+    for _ in range(80):
+        a, b = ([rng.randint(0, 4) for _ in range(rng.randint(1, 12))] for _ in range(2))
+        h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        best = 0
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                h[i][j] = max(0, h[i - 1][j - 1] + (leakage.MATCH if a[i - 1] == b[j - 1] else leakage.MISMATCH), h[i - 1][j] + leakage.GAP, h[i][j - 1] + leakage.GAP)
+                best = max(best, h[i][j])
+        matched, start, end = leakage.align(np.array(a), np.array(b))
+        assert (matched > 0) == (best > 0)
+        if matched:
+            assert b[start] in a and b[end] in a and matched * leakage.MATCH >= best
+
+
+def test_leaks():
+    item = " ".join(f"word{i} of{i} the{i}" for i in range(20))
+    index = leakage.ItemIndex([(7, item), (8, "other words that never occur in the corpus at all here")])
+    assert [x[:2] for x in index.leaks(f"Before. {item.upper()} After.")] == [(7, 1.0)]
+    assert [x[0] for x in index.leaks("> " + " ".join(f"<b>{w}</b>" for w in item.split()[:40]))] == [7]
+    assert index.leaks(" ".join(item.split()[:20])) == []
+
+
+def test_mix_meets_targets(spark):
+    rng = random.Random(2)
+    rows = [(i, s, rng.randint(1, 50)) for i, s in enumerate(["big"] * 3000 + ["mid"] * 500 + ["tiny"] * 40)]
+    records = spark.createDataFrame(rows, "doc_id long, source string, tokens long")
+    targets = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.3, 2), ("tiny", 0.1, 4), ("none", 0.1, 2)], "source string, target_share double, max_repeats int")
+    mix, shares = mixing.draw(records, targets)
+    got = {r["source"]: r for r in shares.collect()}
+    assert abs(got["big"]["reached_share"] - 0.5 / 0.9) < 0.01 and abs(got["mid"]["reached_share"] - 0.3 / 0.9) < 0.01
+    assert got["tiny"]["most_copies"] <= 4 and got["none"]["tokens"] == 0
+    assert mix.count() == mix.select("doc_id").distinct().count()
+    capped = {r["source"]: r for r in mixing.draw(records, targets, total_tokens=10**7)[1].collect()}
+    assert capped["big"]["most_copies"] == 1 and capped["tiny"]["most_copies"] == 4
+
+
+def test_compression_distance():
+    plain = [f"Du måste skicka blankett {i} till kontoret före den {i}." for i in range(40)] + [f"Kontoret i Mossvik öppnar klockan {i} varje vardag." for i in range(40)]
+    nasty = [f"Håll käften din äckliga {w}, ingen vill se dig här." for w in ("mes", "idiot", "fårskalle", "skurk", "typ", "drummel", "slyngel", "tok")] * 3
+    rng = random.Random(5)
+    labelled = [(" ".join(rng.sample(plain, 3)), frozenset({"none"})) for _ in range(80)] + [(f"{rng.choice(plain)} {x}", frozenset({"abusive"})) for x in nasty]
+    rng.shuffle(labelled)
+    model = toxicity.fit_model(labelled)
+    assert model.scores("Håll käften din äckliga luns, ingen vill se dig här.")[0] >= model.thresholds[0]
+    assert model.scores(plain[3])[0] < model.thresholds[0]
+    assert model.scores(None) == [0.0, 0.0, 0.0]
+
+
+def test_hidden_spellings_are_undone():
+    assert toxicity.normalised("You H a l f w i t, you aSsHoLe, nuuuude st0p 12") == "you halfwit, you asshole, nude stop 0"

@@ -186,7 +186,7 @@ class LanguageModel:
             else:
                 score[i] = cosine * min(letters, 80)
         if not size.any():
-            return [(LANGUAGES[self._far(parts)], 0.0)]
+            return [(self._far(parts), 0.0)]
         best = score[0].copy()
         back = np.zeros((len(parts), k), np.int64)
         for i in range(1, len(parts)):
@@ -227,14 +227,14 @@ class LanguageModel:
                 out[i - 1] = out[j] = parts[i - 1][0] + " " + parts[j][0]
         return out
 
-    def _far(self, parts: list[tuple[str, str]]) -> int:
-        """Language of words that no centroid knows well: the nearest all the same."""
+    def _far(self, parts: list[tuple[str, str]]) -> str:
+        """Language of words that no centroid knows well: the nearest all the same, if any shares a feature."""
         total = np.zeros(len(LANGUAGES))
         for piece, _ in parts:
             cosine = self.similarities(piece)
             if cosine is not None:
                 total += cosine
-        return int(total.argmax())
+        return LANGUAGES[int(total.argmax())] if total.any() else "und"
 
 
 def fit_model(labelled: list[tuple[str, str]]) -> LanguageModel:
