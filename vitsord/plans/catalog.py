@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import dates as dt
+from ..functions import guard
 from ..functions import text as tx
-from ..operators import retrieve, verify
+from ..operators import answer, retrieve, verify
 from ..runtime import spread, table
 from ..sources import documents as src
 from ..streaming import events as stream
@@ -190,6 +191,21 @@ def url_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "source_documents").where("url <> ''").select("url", tx.url_slug(F.col("url")).alias("slug")).dropDuplicates()
 
 
+@query()
+def extractive_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of cited sentences to the questions of the query set, or an abstention."""
+    found = answer.extract(_questions(spark, sf_dir), spread(table(spark, sf_dir, "chunks")))
+    return found.select("qid", "answer", "abstained", "confidence", F.to_json("sources").alias("sources"))
+
+
+@query()
+def service_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every request's question as the reference's fixed rules redact it, with counts by kind."""
+    asked = spread(table(spark, sf_dir, "ask_requests")).select("request_id", "question").dropDuplicates()
+    redacted = asked.select("request_id", guard.redact(F.col("question")).alias("r"))
+    return redacted.select("request_id", F.col("r.text").alias("question"), F.to_json("r.found").alias("found"))
+
+
 @query()
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as chunks: sections by heading, paragraphs packed to 160 words."""
