@@ -40,7 +40,7 @@ def plain(spark, chunks, questions, k=5):
     index = retrieve.chunk_terms(df)
     idf = {r["term"]: r["idf"] for r in retrieve.idf(index.select("chunk_id", F.explode(F.array_distinct("terms")).alias("term")), retrieve.corpus_size(index)).collect()}
     hits = {}
-    for r in retrieve.search(asked, df, k).collect():
+    for r in retrieve.search(asked, index, k).collect():
         hits.setdefault(r["qid"], []).append((r["rank"], r["chunk_id"]))
     by_id, out = {c[0]: c for c in chunks}, {}
     gloss = {}

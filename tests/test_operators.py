@@ -17,7 +17,7 @@ CHUNK = "chunk_id string, title string, section string, text string"
 def test_search_equals_brute_force(spark, small):
     chunks = table(spark, small, "chunks")
     asked = spark.createDataFrame([(1, "How do I apply for the water fee?"), (2, "hur flytta"), (3, ""), (4, None)], "qid long, question string")
-    got = {(r["qid"], r["rank"]): (r["chunk_id"], round(r["score"], 6)) for r in retrieve.search(asked, chunks, 3).collect()}
+    got = {(r["qid"], r["rank"]): (r["chunk_id"], round(r["score"], 6)) for r in retrieve.search(asked, retrieve.indexed(chunks), 3).collect()}
     terms = {r["chunk_id"]: r["terms"] for r in retrieve.chunk_terms(chunks).collect()}
     n, avgdl = len(terms), sum(map(len, terms.values())) / len(terms)
     df = Counter(t for v in terms.values() for t in set(v))
@@ -40,9 +40,9 @@ def test_search_equals_brute_force(spark, small):
 def test_search_of_nothing(spark):
     chunks = spark.createDataFrame([], CHUNK)
     asked = spark.createDataFrame([(1, "water fee")], "qid long, question string")
-    assert retrieve.search(asked, chunks).count() == 0
+    assert retrieve.search(asked, retrieve.indexed(chunks)).count() == 0
     some = spark.createDataFrame([("a#0", None, None, None), ("a#0", None, None, None), ("b#0", "Water fee", "Water fee", "The water fee is due.")], CHUNK)
-    assert [r["chunk_id"] for r in retrieve.search(asked, some).collect()] == ["b#0"]
+    assert [r["chunk_id"] for r in retrieve.search(asked, retrieve.indexed(some)).collect()] == ["b#0"]
 
 
 def test_dense_search_equals_brute_force(spark, small):
@@ -106,7 +106,7 @@ def test_stream_of_questions(spark, tmp_path, small):
     asked = spark.createDataFrame([(1, "How do I apply for the water fee?")], "qid long, question string")
     asked.write.json(str(tmp_path / "in"))
     stream_in = spark.readStream.schema(asked.schema).json(str(tmp_path / "in"))
-    stream.answer_stream(stream_in, table(spark, small, "chunks"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    stream.answer_stream(stream_in, retrieve.indexed(table(spark, small, "chunks")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert '"retrieved"' in spark.read.text(str(tmp_path / "out")).collect()[0]["value"]
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
+from ..runtime import cut
 from . import retrieve
 
 ABSTAIN_BELOW = 0.34
@@ -46,13 +47,12 @@ def cited(sentence: Column, n: Column) -> Column:
     return F.when(sentence.rlike(r"[.!?]$"), F.concat(F.substring(sentence, F.lit(1), F.char_length(sentence) - 1), mark, F.substring(sentence, -1, 1))).otherwise(F.concat(sentence, mark, F.lit(".")))
 
 
-def scored_sentences(questions: DataFrame, hits: DataFrame, chunks: DataFrame) -> DataFrame:
+def scored_sentences(questions: DataFrame, hits: DataFrame, chunks: DataFrame, terms: DataFrame) -> DataFrame:
     """(qid, rank, pos, chunk_id, sentence, score) of every sentence of the first hits that shares a word with its question.
 
     A term counts half if the title has it. The sum of the greatest idf of each term's hit alternatives, plus 0.6 of those in the
     section but not the title, is multiplied by the weight of the last term, in the question's order, that the sentence has.
     """
-    terms = retrieve.chunk_terms(chunks)
     alts = retrieve.query_terms(questions).select(F.col("alt").alias("term")).dropDuplicates()
     known = retrieve.idf(retrieve.postings(terms).join(alts, "term", "left_semi"), retrieve.corpus_size(terms))
     own = chunks.dropDuplicates(["chunk_id"]).select("chunk_id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("title", "section", "text")))
@@ -74,9 +74,10 @@ def extract(questions: DataFrame, chunks: DataFrame, k: int = 5, abstain_below:
 
     Up to three sentences within 0.6 of the best, in the order of their chunks; a question below the confidence is not answered.
     """
-    hits = retrieve.search(questions, chunks, k)
-    sure = retrieve.confidence(retrieve.coverage(questions, hits, chunks))
-    found = scored_sentences(questions, hits, chunks)
+    terms = retrieve.indexed(chunks)
+    hits = cut(retrieve.search(questions, terms, k))
+    sure = retrieve.confidence(retrieve.coverage(questions, hits, terms))
+    found = scored_sentences(questions, hits, chunks, terms)
     order = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "rank", "pos")
     best = found.withColumn("place", F.row_number().over(order)).withColumn("best", F.max("score").over(Window.partitionBy("qid")))
     chosen = best.where((F.col("place") <= SENTENCES) & (F.col("score") >= RELATIVE * F.col("best")))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
+from ..runtime import cut
 
 K1, B = 1.4, 0.75
 RRF_K = 60
@@ -58,13 +59,17 @@ def query_terms(questions: DataFrame) -> DataFrame:
     return own.unionByName(more).dropDuplicates()
 
 
-def search(questions: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
-    """(qid, question) x chunks -> (qid, rank, chunk_id, score): the k best chunks of every question by BM25.
+def indexed(chunks: DataFrame) -> DataFrame:
+    """``chunk_terms`` written once, for the several stages that read it."""
+    return cut(chunk_terms(chunks))
+
+
+def search(questions: DataFrame, terms: DataFrame, k: int = 5) -> DataFrame:
+    """(qid, question) x ``indexed`` chunks -> (qid, rank, chunk_id, score): the k best chunks of every question by BM25.
 
     Only postings of words that some question has leave their chunk's row; ties of the score go to the lower chunk_id.
     Contributions are added in the order of the terms, so that equal sets of terms give equal scores.
     """
-    terms = chunk_terms(chunks)
     wanted = query_terms(questions).select("qid", F.col("alt").alias("term")).dropDuplicates()
     # Spark broadcasts the query words where they are small, and shuffles both sides by word where they are not
     found = postings(terms).join(wanted.select("term").dropDuplicates(), "term", "left_semi")
@@ -78,12 +83,11 @@ def search(questions: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "rank", "chunk_id", "score")
 
 
-def coverage(questions: DataFrame, hits: DataFrame, chunks: DataFrame) -> DataFrame:
+def coverage(questions: DataFrame, hits: DataFrame, terms: DataFrame) -> DataFrame:
     """Each hit of ``search`` with the weighted share of the question's terms that its chunk has.
 
     A term weighs the least idf of its known alternatives, or the greatest possible one if none is known.
     """
-    terms = chunk_terms(chunks)
     wanted = query_terms(questions)
     found = postings(terms).join(wanted.select(F.col("alt").alias("term")).dropDuplicates(), "term", "left_semi")
     size = corpus_size(terms)

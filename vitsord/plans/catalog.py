@@ -12,7 +12,7 @@ from ..functions import dates as dt
 from ..functions import guard
 from ..functions import text as tx
 from ..operators import answer, retrieve, verify
-from ..runtime import spread, table
+from ..runtime import cut, spread, table
 from ..sources import documents as src
 from ..streaming import events as stream
 
@@ -84,7 +84,7 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 d AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT chunk_id, unnest(terms) AS term FROM t) GROUP BY term) SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM d, size""")
 def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document frequency and idf of every content term of the chunks."""
-    terms = retrieve.chunk_terms(spread(table(spark, sf_dir, "chunks")))
+    terms = retrieve.indexed(spread(table(spark, sf_dir, "chunks")))
     once = terms.select("chunk_id", F.explode(F.array_distinct("terms")).alias("term"))
     return retrieve.idf(once, retrieve.corpus_size(terms)).select("term", "df", F.round("idf", 6).alias("idf"))
 
@@ -92,7 +92,7 @@ def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_BM25_SQL + "SELECT qid, rank, chunk_id, round(score, 6) AS score FROM ranked WHERE rank <= 5")
 def bm25_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best chunks of every question of the query set."""
-    hits = retrieve.search(_questions(spark, sf_dir), spread(table(spark, sf_dir, "chunks")), 5)
+    hits = retrieve.search(_questions(spark, sf_dir), retrieve.indexed(spread(table(spark, sf_dir, "chunks"))), 5)
     return hits.select("qid", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -101,8 +101,8 @@ cov AS (SELECT r.qid, r.rank, sum(CASE WHEN list_has_any(alts, t.terms) THEN w E
 SELECT qid, round(max(coverage), 6) AS confidence FROM cov WHERE rank <= 3 GROUP BY qid""".replace("qt.term GROUP", "term GROUP").replace("SELECT qid, term, coalesce", "SELECT qid, qt.term AS term, coalesce"))
 def retrieval_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of a question's weighted terms that the best of its three first hits has."""
-    questions, chunks = _questions(spark, sf_dir), spread(table(spark, sf_dir, "chunks"))
-    covered = retrieve.coverage(questions, retrieve.search(questions, chunks, 5), chunks)
+    questions, terms = _questions(spark, sf_dir), retrieve.indexed(spread(table(spark, sf_dir, "chunks")))
+    covered = retrieve.coverage(questions, retrieve.search(questions, terms, 5), terms)
     return retrieve.confidence(covered).select("qid", F.round("confidence", 6).alias("confidence"))
 
 
@@ -112,7 +112,7 @@ SELECT count(*) AS answerable, round(count(r) / greatest(1, count(*)), 6) AS rec
 def retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall at 5 and mean reciprocal rank of the expected documents over all answerable evaluation questions."""
     chunks, items = spread(table(spark, sf_dir, "chunks")), _items(spark, sf_dir)
-    hits = retrieve.search(items.select("qid", "question"), chunks, 5).join(chunks.select("chunk_id", "doc_id").dropDuplicates(), "chunk_id")
+    hits = retrieve.search(items.select("qid", "question"), retrieve.indexed(chunks), 5).join(chunks.select("chunk_id", "doc_id").dropDuplicates(), "chunk_id")
     first = items.where("answerable").join(hits.select("qid", "rank", "doc_id"), "qid", "left").groupBy("qid").agg(F.min(F.when(F.array_contains("expected_docs", F.col("doc_id")), F.col("rank"))).alias("r"))
     n = F.greatest(F.count("*"), F.lit(1))
     return first.agg(F.count("*").alias("answerable"), F.round(F.count("r") / n, 6).alias("recall_at_5"), F.round(F.coalesce(F.sum(1.0 / F.col("r")), F.lit(0.0)) / n, 6).alias("mrr"))
@@ -124,7 +124,7 @@ SELECT * FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(sc
 def rrf_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reciprocal rank fusion of the BM25 ranking with one by brevity, over the twenty best chunks of each question."""
     chunks = spread(table(spark, sf_dir, "chunks"))
-    by_score = retrieve.search(_questions(spark, sf_dir), chunks, 20)
+    by_score = cut(retrieve.search(_questions(spark, sf_dir), retrieve.indexed(chunks), 20))
     sizes = chunks.dropDuplicates(["chunk_id"]).select("chunk_id", F.char_length(F.coalesce("text", F.lit(""))).alias("size"))
     by_size = by_score.join(sizes, "chunk_id").withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("size", "chunk_id")))
     return retrieve.fuse([by_score, by_size], 10).select("qid", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 9).alias("score"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -24,19 +25,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names in ``spark.checkpoint.dir``; only where it is unset, a folder of our own."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as the cluster names it in ``spark.checkpoint.dir``; only where unset, one of our own."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
     named = context.getConf().get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    if not named:
+        named = getattr(context, "_vitsord_folder", None) or tempfile.mkdtemp(prefix="vitsord-shared-")
+        context._vitsord_folder = named
+    return named.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the reliable checkpoint folder, so that later stages survive the loss of an executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written once as a table in the shared folder and read again: later stages survive the loss of an executor."""
+    path = f"{shared_folder(df.sparkSession)}/vitsord-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def ship(spark: SparkSession) -> None:

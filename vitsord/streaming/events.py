@@ -17,14 +17,14 @@ def hourly(events: DataFrame, late: str | None = None) -> DataFrame:
     return found.select(F.col("w.start").alias("window_start"), "event_type", "events", "value")
 
 
-def answer_stream(questions: DataFrame, chunks: DataFrame, trace_path: str, checkpoint: str, k: int = 5) -> StreamingQuery:
-    """For each micro-batch of (qid, question) the best chunks, appended as one JSON line per question.
+def answer_stream(questions: DataFrame, terms: DataFrame, trace_path: str, checkpoint: str, k: int = 5) -> StreamingQuery:
+    """For each micro-batch of (qid, question) the best chunks of an index (``retrieve.indexed``), appended as one JSON line per question.
 
     A ranking needs all hits of a question, which a stream cannot rank by itself; so each batch is searched as a table.
     """
 
     def search(batch: DataFrame, _: int) -> None:
-        hits = retrieve.search(batch, chunks, k)
+        hits = retrieve.search(batch, terms, k)
         per = hits.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "score"))).alias("retrieved"))
         batch.join(per, "qid", "left").select(F.to_json(F.struct("qid", "question", "retrieved")).alias("value")).write.mode("append").text(trace_path)
 
