@@ -29,8 +29,10 @@ from ..runtime import spread, table
 
 #: Words of an n-gram.
 N = 5
-#: Share of an item's words that nearby diagonals must cover to propose it, and that the alignment must match to report it.
-SEED_SHARE, LEAST_SHARE = 0.25, 0.55
+#: Share of an item's places whose n-gram must stand on nearby diagonals to propose it, and of its words that the alignment must match.
+SEED_SHARE, LEAST_SHARE = 0.15, 0.55
+#: More bands of diagonals than any text has; places of an item stay below 65,536.
+BANDS = 1 << 24
 #: Diagonals (document position minus item position) that count as near.
 BAND = 16
 MOST_ITEMS = 20_000
@@ -39,65 +41,58 @@ MATCH, MISMATCH, GAP = 10, -7, -5
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,60}>|\[\d+\]|​|­|⁠|﻿")
 _BROKEN = re.compile(r"(?<=[^\W\d_])-\s*\n[>\s]*(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
+_ACCENT = re.compile("[\u0300-\u036f]")
+_LOOKS = re.compile("[\u0370-\u04ff]")
 # Cyrillic and Greek letters that look like Latin ones.
 _LOOKALIKE = str.maketrans("аеорсухіјѕԁһԛԝοανρτυ", "aeopcyxijsdhqwoavptu")
 
 
-def words(text: str) -> tuple[list[str], list[int]]:
-    """Normalised words and where each begins in ``text`` (without tags, -1 where that is unknown)."""
-    plain = text
-    if "&" in plain or "<" in plain or "[" in plain or "\n" in plain:
-        plain = _BROKEN.sub("", _TAG.sub(" ", html.unescape(text)))
-    if not unicodedata.is_normalized("NFC", plain):
-        plain = unicodedata.normalize("NFC", plain)
-    same = len(plain) == len(text)
-    out, places = [], []
-    for m in _WORD.finditer(plain):
-        w = unicodedata.normalize("NFKD", m.group().lower())
-        if not w.isascii():
-            w = "".join(c for c in w if not unicodedata.combining(c))
-            if any("a" <= c <= "z" for c in w):
-                w = w.translate(_LOOKALIKE)
-        out.append(w)
-        places.append(m.start() if same else -1)
-    return out, places
+def words(text: str) -> list[str]:
+    """Normalised words: without tags, citations, accents, line-end hyphens, and with look-alike letters in Latin words undone."""
+    if "&" in text or "<" in text or "[" in text or "\n" in text:
+        text = _BROKEN.sub("", _TAG.sub(" ", html.unescape(text)))
+    if text.isascii():
+        return _WORD.findall(text.lower())
+    found = _WORD.findall(_ACCENT.sub("", unicodedata.normalize("NFKD", text.lower())))
+    if _LOOKS.search(text):
+        found = [w.translate(_LOOKALIKE) if any("a" <= c <= "z" for c in w) else w for w in found]
+    return found
 
 
 class ItemIndex:
     """Normalised items and their n-grams; bounded by the number of items."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items = [(i, words(t)[0]) for i, t in items if t]
+        self.items = [(i, words(t)) for i, t in items if t]
         self.items = [(i, w) for i, w in self.items if w]
         self.short = min((len(w) for _, w in self.items), default=N)
         self.n = max(1, min(N, self.short))
-        self.grams: dict[str, list[tuple[int, int]]] = {}
+        places: dict[str, list[tuple[int, int]]] = {}
         for k, (_, w) in enumerate(self.items):
             for j in range(len(w) - self.n + 1):
-                self.grams.setdefault(" ".join(w[j : j + self.n]), []).append((k, j))
+                places.setdefault(" ".join(w[j : j + self.n]), []).append((k, j))
+        # of each n-gram, where in which items it stands: a slice of two flat arrays
+        self.grams = {g: i for i, g in enumerate(places)}
+        self.sizes = np.array([len(v) for v in places.values()], np.int64)
+        self.firsts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]) if len(self.sizes) else np.zeros(0, np.int64)
+        flat = [x for v in places.values() for x in v]
+        self.item_of = np.array([k for k, _ in flat], np.int64)
+        self.place_of = np.array([j for _, j in flat], np.int64)
+        self.lengths = np.array([len(w) for _, w in self.items], np.int64)
         ids: dict[str, int] = {}
         self.codes = [np.array([ids.setdefault(x, len(ids)) for x in w], np.int64) for _, w in self.items]
         self.ids = ids
 
     def leaks(self, text: str) -> list[tuple[int, float, int, int]]:
         """(item_id, share of its words found, first word, last word) of each item in ``text``."""
-        w, _ = words(text)
+        w = words(text)
         n, grams = self.n, self.grams
-        bands: dict[tuple[int, int], set[int]] = {}
-        for p in range(len(w) - n + 1):
-            hits = grams.get(" ".join(w[p : p + n]))
-            if hits:
-                for k, j in hits:
-                    b = (p - j) // BAND
-                    bands.setdefault((k, b), set()).update(range(j, j + n))
-        best: dict[int, tuple[float, int]] = {}
-        for (k, b), covered in bands.items():
-            both = covered | bands.get((k, b + 1), set())
-            share = len(both) / len(self.items[k][1])
-            if share >= SEED_SHARE and share > best.get(k, (0.0, 0))[0]:
-                best[k] = (share, b)
+        found = [(p, g) for p in range(len(w) - n + 1) if (g := grams.get(" ".join(w[p : p + n]))) is not None]
+        if not found:
+            return []
+        best = self._proposed(np.array(found, np.int64))
         out, codes = [], None
-        for k, (_, b) in best.items():
+        for k, b in best:
             if codes is None:
                 codes = np.array([self.ids.get(x, -1) for x in w], np.int64)
             length = len(self.codes[k])
@@ -108,6 +103,25 @@ class ItemIndex:
                 out.append((self.items[k][0], round(matched / length, 4), start + a, start + z))
         return out
 
+    def _proposed(self, found: np.ndarray) -> list[tuple[int, int]]:
+        """(item, band) of each item of which enough places are hit on two neighbouring bands of diagonals; its best band."""
+        sizes = self.sizes[found[:, 1]]
+        inside = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        at = np.repeat(self.firsts[found[:, 1]], sizes) + inside
+        item, place = self.item_of[at], self.place_of[at]
+        band = (np.repeat(found[:, 0], sizes) - place) // BAND + BANDS // 2
+        # distinct places per item and band, then the sum over neighbouring bands
+        key = np.unique(((item * BANDS + band) << 16) + place) >> 16
+        bands, hits = np.unique(key, return_counts=True)
+        after = np.searchsorted(bands, bands + 1)
+        both = hits + np.where((after < len(bands)) & (bands[np.minimum(after, len(bands) - 1)] == bands + 1), hits[np.minimum(after, len(bands) - 1)], 0)
+        owner = bands // BANDS
+        good = both >= SEED_SHARE * self.lengths[owner]
+        order = np.lexsort((bands[good], -both[good], owner[good]))
+        owner, place_of_band = owner[good][order], bands[good][order] % BANDS - BANDS // 2
+        first = np.concatenate([[True], owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, bool)
+        return [(int(k), int(b)) for k, b in zip(owner[first], place_of_band[first])]
+
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """Best local alignment: matched words, and the first and last word of ``text`` in it.
