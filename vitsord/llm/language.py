@@ -138,6 +138,8 @@ _COST = {"inside": SWITCH_INSIDE, "end": SWITCH, "script": SWITCH_BREAK, "mark":
 class LanguageModel:
     def __init__(self, vocabulary: dict[str, int], idf: np.ndarray, centroids: np.ndarray, owners: np.ndarray):
         self.vocabulary, self.idf, self.centroids, self.owners = vocabulary, idf, centroids, owners
+        #: Where the centroids of each language begin; they lie together.
+        self.starts = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1]]))
         #: Weight of a feature that no labelled sentence has, as in a name: it makes a piece less like any language.
         self.unknown = float(np.median(idf)) if len(idf) else 0.0
         self.cache: dict[str, np.ndarray | None] = {}
@@ -159,7 +161,8 @@ class LanguageModel:
         v, out = self.vector(piece), None
         if v is not None:
             cosines = v[1] @ self.centroids[v[0]]
-            out = np.array([cosines[self.owners == k].max() if (self.owners == k).any() else 0.0 for k in range(len(LANGUAGES))])
+            out = np.zeros(len(LANGUAGES))
+            out[self.owners[self.starts]] = np.maximum.reduceat(cosines, self.starts)
         if len(self.cache) < 50_000:
             self.cache[piece] = out
         return out
