@@ -93,7 +93,9 @@ def pieces(text: str | None) -> list[tuple[str, str]]:
     """(clause, the break before it) of a question in reading order, without contact details; a clause may be part of a sentence."""
     if not text:
         return []
-    text = _CONTACT.sub(" ", unicodedata.normalize("NFC", text))
+    text = unicodedata.normalize("NFC", text)
+    if any(x in text for x in ("@", "[", "(", "www.", "://", " at ")):
+        text = _CONTACT.sub(" ", text)
     out, at, kind = [], 0, "end"
     for m in (_SPLIT_SCRIPTS if _OTHER_SCRIPT.search(text) else _SPLIT).finditer(text):
         out.append((text[at : m.start()], kind))
@@ -180,7 +182,7 @@ class LanguageModel:
             piece = around.get(i, piece)
             words = _WORD.findall(piece)
             letters = sum(map(len, words)) * (3 if _CJK.search(piece) else 1)
-            cosine = self.similarities(piece)
+            cosine = self.similarities(" ".join(words).lower())  # without numbers and marks, so that alike pieces are one
             if cosine is None or cosine.max() < REJECT:
                 continue
             size[i] = letters
