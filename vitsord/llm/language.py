@@ -367,8 +367,16 @@ def classified(df: DataFrame, model: LanguageModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = pickle.loads(shared.value)
+        seen: dict[str | None, list[tuple[str, float]]] = {}  # the same question is often asked again
         for batch in batches:
-            found = [m.segments(t) for t in batch.column(3).to_pylist()]
+            found = []
+            for t in batch.column(3).to_pylist():
+                f = seen.get(t)
+                if f is None:
+                    f = m.segments(t)
+                    if len(seen) < 100_000:
+                        seen[t] = f
+                found.append(f)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array([[a for a, _ in f] for f in found], pa.list_(pa.string())), pa.array([[b for _, b in f] for f in found], pa.list_(pa.float64()))],
                 names=["record_table", "record_id", "label", "langs", "confidences"],
