@@ -154,6 +154,14 @@ def test_leaks():
     assert index.leaks(" ".join(item.split()[:20])) == []
 
 
+def test_leaks_of_half_an_item():
+    item = [f"word{i}" for i in range(100)]
+    index = leakage.ItemIndex([(7, " ".join(item))])
+    assert [x[:2] for x in index.leaks(" ".join(["before"] * 9 + item[:50] + ["after"] * 9))] == [(7, 0.5)]
+    assert [x[:2] for x in index.leaks(" ".join(["before"] * 9 + item[30:83] + ["after"] * 9))] == [(7, 0.53)]
+    assert index.leaks(" ".join(["before"] * 9 + item[:49] + ["after"] * 9)) == []
+
+
 def test_mix_meets_targets(spark):
     rng = random.Random(2)
     rows = [(i, s, rng.randint(1, 50)) for i, s in enumerate(["big"] * 3000 + ["mid"] * 500 + ["tiny"] * 40)]

@@ -30,7 +30,7 @@ from ..runtime import spread, table
 #: Words of an n-gram.
 N = 5
 #: Share of an item's places whose n-gram must stand on nearby diagonals to propose it, and of its words that the alignment must match.
-SEED_SHARE, LEAST_SHARE = 0.15, 0.55
+SEED_SHARE, LEAST_SHARE = 0.15, 0.5
 #: More bands of diagonals than any text has; places of an item stay below 65,536.
 BANDS = 1 << 24
 #: Diagonals (document position minus item position) that count as near.
