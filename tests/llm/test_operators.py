@@ -162,6 +162,39 @@ def test_leaks_of_half_an_item():
     assert index.leaks(" ".join(["before"] * 9 + item[:49] + ["after"] * 9)) == []
 
 
+@pytest.mark.parametrize("every", [2, 3, 5, 6])
+def test_leaks_with_changed_words(every):
+    item = [f"word{i}" for i in range(100)]
+    index = leakage.ItemIndex([(7, " ".join(item)), (8, "other words that never occur")])
+    changed = [f"x{i}" if i % every == every - 1 else w for i, w in enumerate(item)]
+    assert [x[0] for x in index.leaks(" ".join(["before"] * 40 + changed + ["after"] * 40))] == [7]
+
+
+@pytest.mark.parametrize("between", [10, 400])
+def test_leaks_behind_a_shorter_part_of_the_same_item(between):
+    item = [f"word{i}" for i in range(90)]
+    index = leakage.ItemIndex([(7, " ".join(item))])
+    later = [f"x{i}" if i % 2 else w for i, w in enumerate(item)]
+    assert [x[0] for x in index.leaks(" ".join(item[:35] + ["between"] * between + later + ["on"] * 3000))] == [7]
+    assert index.leaks(" ".join(item[:35] + ["between"] * 400 + item[46:])) == []
+
+
+def test_subsequence_bound_is_exact():
+    rng = random.Random(6)
+    for _ in range(60):
+        a, b = ([rng.randint(0, 5) for _ in range(rng.randint(1, 14))] for _ in range(2))
+        most = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                most[i + 1][j + 1] = most[i][j] + 1 if x == y else max(most[i][j + 1], most[i + 1][j])
+        index = leakage.ItemIndex([(1, "z z z"), (2, " ".join(map(str, a))), (3, "0 1 2 3 4 5 5")])
+        text = [index.ids.get(str(y), -1) for y in b]
+        firsts, bits, full = index.blocks[0]
+        left = leakage.unmatched(bits, full, text)
+        assert len(a) - (left >> firsts[1] & (1 << len(a)) - 1).bit_count() == most[-1][-1]
+        assert len(a) - leakage.unmatched(index.bits[1], (1 << len(a)) - 1, text).bit_count() == most[-1][-1]
+
+
 def test_mix_meets_targets(spark):
     rng = random.Random(2)
     rows = [(i, s, rng.randint(1, 50)) for i, s in enumerate(["big"] * 3000 + ["mid"] * 500 + ["tiny"] * 40)]

@@ -1,14 +1,15 @@
 """Evaluation texts leaking into training text (problem 6).
 
-Method: a broadcast hash set of the normalised n-grams of all test items. Every window of a document's words is looked up; hits that
-lie on nearby diagonals propose an item, and a local alignment of the item's words with the document's verifies it: at least
-``LEAST_SHARE`` of the item's words in their order within one passage. The passage's place is reported, so that spans or whole
-documents can be taken out.
+Method: a broadcast hash index of the words of all normalised test items. A window of a document proposes an item if the two
+share enough words, and keeps it if the longest common subsequence has enough; both are upper bounds of what an alignment can match,
+so that neither loses a case. A local alignment of the item's words with the window's decides: at least ``LEAST_SHARE`` of the item's
+words in their order within one passage. If the best passage has less, what lies before and behind it is aligned as well. The
+passage's place is reported, so that spans or whole documents can be taken out.
 
-The n-gram set is broadcast because test items are a fixed set (240 here); above ``MOST_ITEMS`` the job stops with an error
+The index is broadcast because test items are a fixed set (240 here); above ``MOST_ITEMS`` the job stops with an error
 rather than broadcast without bound; such a set is searched in several runs.
 
-Defined results: null and empty texts leak nothing; an item of less than ``N`` words is looked up whole; of repeated items each
+Defined results: null and empty texts leak nothing; of repeated items each
 leaks; equal documents under other ids each give their rows; empty tables give empty results; further columns are ignored.
 """
 
@@ -27,16 +28,14 @@ from pyspark.sql import functions as F
 
 from ..runtime import spread, table
 
-#: Words of an n-gram.
-N = 5
-#: Share of an item's places whose n-gram must stand on nearby diagonals to propose it, and of its words that the alignment must match.
-SEED_SHARE, LEAST_SHARE = 0.15, 0.5
-#: More bands of diagonals than any text has; places of an item stay below 65,536.
-BANDS = 1 << 24
-#: Diagonals (document position minus item position) that count as near.
-BAND = 16
+#: Share of an item's words that the alignment must match.
+LEAST_SHARE = 0.5
 MOST_ITEMS = 20_000
 MATCH, MISMATCH, GAP = 10, -7, -5
+#: Words of a passage for each word of the item at most: with more, gaps cost more than all matches give.
+STRETCH = 1 + MATCH // -GAP
+#: Items whose longest common subsequences are found together.
+BLOCK = 32
 
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,60}>|\[\d+\]|​|­|⁠|﻿")
 _BROKEN = re.compile(r"(?<=[^\W\d_])-\s*\n[>\s]*(?=[^\W\d_])")
@@ -60,67 +59,110 @@ def words(text: str) -> list[str]:
 
 
 class ItemIndex:
-    """Normalised items and their n-grams; bounded by the number of items."""
+    """Normalised items, where each word stands in them, and how often; bounded by the number of items."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items = [(i, words(t)) for i, t in items if t]
         self.items = [(i, w) for i, w in self.items if w]
-        self.short = min((len(w) for _, w in self.items), default=N)
-        self.n = max(1, min(N, self.short))
-        places: dict[str, list[tuple[int, int]]] = {}
-        for k, (_, w) in enumerate(self.items):
-            for j in range(len(w) - self.n + 1):
-                places.setdefault(" ".join(w[j : j + self.n]), []).append((k, j))
-        # of each n-gram, where in which items it stands: a slice of two flat arrays
-        self.grams = {g: i for i, g in enumerate(places)}
-        self.sizes = np.array([len(v) for v in places.values()], np.int64)
-        self.firsts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]) if len(self.sizes) else np.zeros(0, np.int64)
-        flat = [x for v in places.values() for x in v]
-        self.item_of = np.array([k for k, _ in flat], np.int64)
-        self.place_of = np.array([j for _, j in flat], np.int64)
-        self.lengths = np.array([len(w) for _, w in self.items], np.int64)
         ids: dict[str, int] = {}
-        self.codes = [np.array([ids.setdefault(x, len(ids)) for x in w], np.int64) for _, w in self.items]
         self.ids = ids
+        self.codes = [np.array([ids.setdefault(x, len(ids)) for x in w], np.int64) for _, w in self.items]
+        self.lengths = np.array([len(w) for _, w in self.items], np.int64)
+        self.step = STRETCH * int(self.lengths.max(initial=1))
+        # of each item, a bit set of the places of each word
+        self.bits: list[dict[int, int]] = []
+        # of each word, in which items it stands and how often: a slice of two flat arrays
+        holders: list[list[tuple[int, int]]] = [[] for _ in ids]
+        for k, c in enumerate(self.codes):
+            bits: dict[int, int] = {}
+            for j, x in enumerate(c.tolist()):
+                bits[x] = bits.get(x, 0) | 1 << j
+            self.bits.append(bits)
+            for x, b in bits.items():
+                holders[x].append((k, b.bit_count()))
+        self.sizes = np.array([len(v) for v in holders], np.int64)
+        self.firsts = np.cumsum(self.sizes) - self.sizes
+        flat = [x for v in holders for x in v]
+        self.item_of = np.array([k for k, _ in flat], np.int64)
+        self.times = np.array([n for _, n in flat], np.int64)
+        # items with the same commonest word side by side, so that those of a language share blocks
+        common = [int(c[np.argmax(self.sizes[c])]) for c in self.codes]
+        order = sorted(range(len(common)), key=lambda k: (common[k], k))
+        self.blocks = [self._joined(order[i : i + BLOCK]) for i in range(0, len(order), BLOCK)]
+
+    def _joined(self, members: list[int]) -> tuple[dict[int, int], dict[int, int], int]:
+        """(first bit of each item, bit set of each word, all places) of a block of items, a free bit behind each."""
+        firsts, bits, full, at = {}, {}, 0, 0
+        for k in members:
+            firsts[k] = at
+            full |= (1 << len(self.codes[k])) - 1 << at
+            for x, b in self.bits[k].items():
+                bits[x] = bits.get(x, 0) | b << at
+            at += len(self.codes[k]) + 1
+        return firsts, bits, full
 
     def leaks(self, text: str) -> list[tuple[int, float, int, int]]:
-        """(item_id, share of its words found, first word, last word) of each item in ``text``."""
+        """(item_id, share of its words found, first word, last word) of each item in ``text``; its fullest passage."""
         w = words(text)
-        n, grams = self.n, self.grams
-        found = [(p, g) for p in range(len(w) - n + 1) if (g := grams.get(" ".join(w[p : p + n]))) is not None]
-        if not found:
-            return []
-        best = self._proposed(np.array(found, np.int64))
-        out, codes = [], None
-        for k, b in best:
-            if codes is None:
-                codes = np.array([self.ids.get(x, -1) for x in w], np.int64)
-            length = len(self.codes[k])
-            start = max(0, b * BAND - length // 2)
-            stop = min(len(w), (b + 2) * BAND + length + length // 2)
-            matched, a, z = align(self.codes[k], codes[start:stop])
-            if matched >= LEAST_SHARE * length:
-                out.append((self.items[k][0], round(matched / length, 4), start + a, start + z))
+        codes = np.fromiter((self.ids.get(x, -1) for x in w), np.int64, len(w))
+        best: dict[int, tuple[int, int, int]] = {}
+        # a passage is at most ``step`` words long, so that each lies within one of the windows
+        for start in range(0, max(1, len(codes) - self.step), self.step):
+            window = codes[start : start + 2 * self.step]
+            for k in self._proposed(window):
+                for matched, a, z in self._passages(k, window, start):
+                    if k not in best or matched > best[k][0]:
+                        best[k] = matched, a, z
+        return [(self.items[k][0], round(m / len(self.codes[k]), 4), a, z) for k, (m, a, z) in sorted(best.items())]
+
+    def _proposed(self, window: np.ndarray) -> list[int]:
+        """Items of which the window has enough words, each counted as often as both have it, and enough of them in order."""
+        known, often = np.unique(window[window >= 0], return_counts=True)
+        sizes = self.sizes[known]
+        inside = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        at = np.repeat(self.firsts[known], sizes) + inside
+        shared = np.bincount(self.item_of[at], np.minimum(self.times[at], np.repeat(often, sizes)), len(self.items))
+        enough = set(np.flatnonzero(shared >= LEAST_SHARE * self.lengths).tolist())
+        out, text = [], window.tolist() if enough else []
+        for firsts, bits, full in self.blocks if enough else ():
+            if here := enough & firsts.keys():
+                left = unmatched(bits, full, text)
+                for k in here:
+                    length = len(self.codes[k])
+                    if length - (left >> firsts[k] & (1 << length) - 1).bit_count() >= LEAST_SHARE * length:
+                        out.append(k)
         return out
 
-    def _proposed(self, found: np.ndarray) -> list[tuple[int, int]]:
-        """(item, band) of each item of which enough places are hit on two neighbouring bands of diagonals; its best band."""
-        sizes = self.sizes[found[:, 1]]
-        inside = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        at = np.repeat(self.firsts[found[:, 1]], sizes) + inside
-        item, place = self.item_of[at], self.place_of[at]
-        band = (np.repeat(found[:, 0], sizes) - place) // BAND + BANDS // 2
-        # distinct places per item and band, then the sum over neighbouring bands
-        key = np.unique(((item * BANDS + band) << 16) + place) >> 16
-        bands, hits = np.unique(key, return_counts=True)
-        after = np.searchsorted(bands, bands + 1)
-        both = hits + np.where((after < len(bands)) & (bands[np.minimum(after, len(bands) - 1)] == bands + 1), hits[np.minimum(after, len(bands) - 1)], 0)
-        owner = bands // BANDS
-        good = both >= SEED_SHARE * self.lengths[owner]
-        order = np.lexsort((bands[good], -both[good], owner[good]))
-        owner, place_of_band = owner[good][order], bands[good][order] % BANDS - BANDS // 2
-        first = np.concatenate([[True], owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, bool)
-        return [(int(k), int(b)) for k, b in zip(owner[first], place_of_band[first])]
+    def _passages(self, k: int, part: np.ndarray, start: int) -> list[tuple[int, int, int]]:
+        """(matched, first word, last word) of the passages of ``part`` that hold item ``k``; what a short one leaves is searched too."""
+        out, parts, item = [], [(start, part)], self.codes[k]
+        while parts:
+            at, rest = parts.pop()
+            if not self._dense(k, rest):
+                continue
+            matched, a, z = align(item, rest)
+            if matched >= LEAST_SHARE * len(item):
+                out.append((matched, at + a, at + z))
+            elif matched:
+                parts += [(at, rest[:a]), (at + z + 1, rest[z + 1 :])]
+        return out
+
+    def _dense(self, k: int, part: np.ndarray) -> bool:
+        """Whether enough words stand in order so near that the alignment's first ``LEAST_SHARE`` may be there: no start of a best one scores less than 0."""
+        length = len(self.codes[k])
+        need, hop, text = LEAST_SHARE * length, max(1, length // 4), part.tolist()
+        full, span = (1 << length) - 1, STRETCH * -int(-need // 1)
+        return any(length - unmatched(self.bits[k], full, text[i : i + span + hop]).bit_count() >= need for i in range(0, max(1, len(text) - span), hop))
+
+
+def unmatched(bits: dict[int, int], full: int, text: list[int]) -> int:
+    """The places of an item, or of a block of items, that its longest common subsequence with ``text`` leaves; one addition a word."""
+    left = full
+    for b in map(bits.get, text):
+        if b:
+            hit = left & b
+            left = (left + hit | left - hit) & full
+    return left
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
