@@ -78,6 +78,31 @@ def test_verification(spark, answer, label, faithfulness):
     assert row["invalid_citations"] == ([7] if "[7]" in answer else [])
 
 
+RESULT = '{"start": "2026-03-10", "rule": "1 week", "deadline": "2026-03-17", "moved_because": []}'
+
+
+COMPUTED = [
+    ("Counting from Tuesday 10 March 2026, the deadline is Tuesday 17 March 2026 [calc].", [("calculate_deadline", RESULT)], "verified"),
+    ("Sista dagen är 2026-03-17 [calc].", [("search_documents", "[1]"), ("calculate_deadline", RESULT)], "verified"),
+    ("Counting from Tuesday 10 March 2026, the deadline is Tuesday 18 March 2026 [calc].", [("calculate_deadline", RESULT)], "unverified"),
+    ("Sista dagen är 2026-03-17 [calc].", [("search_documents", RESULT)], "unverified"),
+    ("Sista dagen är 2026-03-17 [calc].", [("next_business_day", "no object"), ("next_business_day", None)], "unverified"),
+    ("The latest possible day remains unknown here [calc].", None, "unverified"),
+    ("Report the move by Tuesday 17 March 2026 at the counter downstairs [1] [calc].", [("calculate_deadline", RESULT)], "verified"),
+    ("Report the move by Wednesday 18 March 2026 [1] [calc].", [("calculate_deadline", RESULT)], "unverified"),
+    ("Cats and dogs love Tuesday 17 March 2026 [1] [calc].", [("calculate_deadline", RESULT)], "unverified"),
+    ("Report the move by Tuesday 17 March 2026 [1].", [("calculate_deadline", RESULT)], "unverified"),
+]
+
+
+def test_verification_of_computed_claims(spark):
+    source = [(1, "Moving", "Report", "You must report a move to the agency within one week.")]
+    kind = "trace_id string, answer string, sources array<struct<n: int, title: string, section: string, text: string>>, tool_calls array<struct<tool: string, result: string>>"
+    answers = spark.createDataFrame([(str(i), answer, source, calls) for i, (answer, calls, _) in enumerate(COMPUTED)], kind)
+    got = {r["trace_id"]: r["label"] for r in verify.verification(verify.claims(answers)).collect()}
+    assert [got[str(i)] for i in range(len(COMPUTED))] == [label for _, _, label in COMPUTED]
+
+
 def test_verification_of_nulls(spark):
     rows = verify.verification(verify.claims(_answers(spark, [("a", None, None), ("b", "You must report the move within one week [1].", None)]))).collect()
     assert {r["trace_id"]: r["label"] for r in rows} == {"b": "unverified"}

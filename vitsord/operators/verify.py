@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import dates as dt
 from ..functions import text as tx
 
-SUPPORT = 0.5
+#: Share of a claim's terms that its sources must have; of a computed one, whose other words come from the tool.
+SUPPORT, CALC_SUPPORT = 0.5, 0.3
+#: Tools whose results bear a computed claim.
+CALC_TOOLS = ("calculate_deadline", "next_business_day")
 # Phrases of sentences that state nothing about the matter itself.
 META = r"(?iu)(could not find|couldn't find|cannot find|can't find|not (?:mentioned|covered|stated) in|no information|please (?:verify|check|contact)|contact (?:the|your)|this is not (?:legal|official)|kunde inte hitta|hittar inte|kontakta|sources?:|källor?:)"
 # Patterns of text that tries to give instructions.
@@ -32,14 +36,32 @@ def injection_findings(text: Column) -> Column:
     return sum((F.when(text.rlike(f"(?iumU){p}"), 1).otherwise(0) for p in INJECTION), F.lit(0))
 
 
+def tool_texts(calls: Column) -> Column:
+    """The values of each result of the calendar tools, its ISO dates also as in "Tuesday 17 March 2026"; what is no object is none."""
+
+    def said(call: Column) -> Column:
+        values = F.map_values(F.from_json(call["result"], "map<string,string>"))
+        plain = F.array_join(F.transform(values, lambda v: F.coalesce(v, F.lit("None"))), " ")
+        days = F.transform(F.regexp_extract_all(plain, F.lit(r"\d{4}-\d{2}-\d{2}"), F.lit(0)), lambda d: dt.long_date(d.try_cast("date")))
+        return F.concat_ws(" ", plain, days)
+
+    found = F.transform(F.filter(calls, lambda c: c["tool"].isin(*CALC_TOOLS)), lambda c: F.when(F.from_json(c["result"], "map<string,string>").isNotNull(), said(c)))
+    return F.coalesce(F.filter(found, lambda t: t.isNotNull()), F.array().cast("array<string>"))
+
+
 def claims(answers: DataFrame) -> DataFrame:
-    """(trace_id, answer, sources) -> one row per sentence with its citations, its support and whether the cited text bears it.
+    """(trace_id, answer, sources[, tool_calls]) -> one row per sentence with its citations, its support and whether the cited text bears it.
 
     A sentence of fewer than three content terms, or about the answer itself, is no claim. A claim is supported if it has a valid
-    citation, at least half of its terms stand in the cited sources, and so do all its numbers. ``sources`` is an array of structs
-    with n, title, section and text. Null answers give no sentence; null sources are none.
+    citation, at least half of its terms stand in the cited sources, and so do all its numbers. A claim marked [calc] may take its
+    numbers from the calendar tools' results as well; with a citation, 0.3 of the terms that no result has must stand in the sources;
+    without one, its numbers decide, if there is a result. ``sources`` is an array of structs with n, title, section and text,
+    ``tool_calls`` one of tool and result. Null answers give no sentence; null sources and calls are none.
     """
-    found = answers.select("trace_id", F.coalesce("sources", F.array()).alias("sources"), F.posexplode(tx.sentences(tx.citations_inside(F.col("answer")))).alias("sentence_no", "sentence"))
+    calls = tool_texts(F.col("tool_calls")) if "tool_calls" in answers.columns else F.array().cast("array<string>")
+    told = answers.select("trace_id", "answer", F.coalesce("sources", F.array()).alias("sources"), calls.alias("told")).withColumn("tool_text", F.array_join("told", " "))
+    told = told.select("trace_id", "answer", "sources", (F.size("told") > 0).alias("has_result"), tx.numbers(F.replace("tool_text", F.lit("-"), F.lit(" "))).alias("tool_numbers"), F.array_distinct(tx.content_terms(F.col("tool_text"))).alias("tool_terms"))
+    found = told.select("trace_id", "sources", "has_result", "tool_numbers", "tool_terms", F.posexplode(tx.sentences(tx.citations_inside(F.col("answer")))).alias("sentence_no", "sentence"))
     cited = found.withColumn("cited", tx.citations(F.col("sentence"))).withColumn("has_calc", F.col("sentence").rlike(r"(?i)\[calc\]"))
     body = F.regexp_replace(F.regexp_replace("sentence", tx.CITATION, " "), r"(?i)\[calc\]", " ")
     cited = cited.withColumn("body", body).withColumn("terms", F.array_distinct(tx.content_terms(F.col("body"))))
@@ -48,10 +70,16 @@ def claims(answers: DataFrame) -> DataFrame:
     text_of = lambda s: F.concat_ws(". ", F.coalesce(s["title"], F.lit("")), F.coalesce(s["section"], F.lit("")), F.coalesce(s["text"], F.lit("")))
     evidence = F.array_join(F.transform(F.filter("sources", lambda s: F.array_contains("valid", s["n"])), text_of), " ")
     cited = cited.withColumn("evidence", evidence).drop("sources")
-    share = F.size(F.array_intersect("terms", tx.content_terms(F.col("evidence")))) / F.size("terms")
-    missing = F.size(F.array_except(tx.numbers(F.col("body")), tx.numbers(F.col("evidence"))))
-    checked = cited.withColumn("support", F.when(~F.col("is_claim"), 1.0).when(F.size("valid") == 0, 0.0).otherwise(share))
-    ok = F.when(~F.col("is_claim"), True).when(F.size("valid") == 0, False).otherwise((F.col("support") >= SUPPORT) & (missing == 0))
+    # of a computed claim, the words that the tool gives need no source
+    cited = cited.withColumn("rest", F.when(F.col("has_calc"), F.array_except("terms", "tool_terms")).otherwise(F.col("terms")))
+    share = F.when(F.size("rest") == 0, 1.0).otherwise(F.size(F.array_intersect("rest", tx.content_terms(F.col("evidence")))) / F.size("rest"))
+    unsaid = F.array_except(tx.numbers(F.col("body")), tx.numbers(F.col("evidence")))
+    checked = cited.withColumn("missing", F.size(F.when(F.col("has_calc"), F.array_except(unsaid, F.col("tool_numbers"))).otherwise(unsaid)))
+    matches = (F.col("missing") == 0) & F.col("has_result")
+    alone = F.col("has_calc") & (F.size("valid") == 0)
+    checked = checked.withColumn("support", F.when(~F.col("is_claim"), 1.0).when(alone, matches.cast("double")).when(F.size("valid") == 0, 0.0).otherwise(share))
+    least = F.when(F.col("has_calc"), CALC_SUPPORT).otherwise(SUPPORT)
+    ok = F.when(~F.col("is_claim"), True).when(alone, matches).when(F.size("valid") == 0, False).otherwise((F.col("support") >= least) & (F.col("missing") == 0))
     return checked.select("trace_id", "sentence_no", "sentence", "cited", "valid", "has_calc", "is_claim", "support", ok.alias("supported"))
 
 

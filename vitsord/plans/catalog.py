@@ -167,8 +167,8 @@ def answer_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def claim_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Faithfulness, citation coverage and label of every answer, sentence by sentence against its own sources."""
-    answers = spread(table(spark, sf_dir, "ask_results")).where("answer is not null").select("trace_id", "answer", "sources").dropDuplicates(["trace_id"])
+    """Faithfulness, citation coverage and label of every answer, sentence by sentence against its own sources and tool results."""
+    answers = spread(table(spark, sf_dir, "ask_results")).where("answer is not null").select("trace_id", "answer", "sources", "tool_calls").dropDuplicates(["trace_id"])
     return verify.verification(verify.claims(answers))
 
 
