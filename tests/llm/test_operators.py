@@ -108,6 +108,25 @@ def test_personal_information(finder):
     assert finder.items([None, "", "[EMAIL] [PHONE]"]) == [[], [], []]
 
 
+def test_labels_from_the_services_placeholders():
+    text = "Hej, ring 555 01 06 eller a.b@c.test. Ring 555 01 07."
+    spans = pii.placed(text, "Hej, ring [PHONE] eller [EMAIL]. Ring 555 01 07.")
+    assert [(text[a:b], k) for a, b, k in spans] == [("555 01 06", "phone"), ("a.b@c.test", "email")]
+    assert pii.placed(text, text) == [] and pii.placed(text, "Hej [PHONE] hopp") == [] and pii.placed("", "[NAME]") == []
+    label = lambda a, b, k: pii.placed_label((a, b, k, [], 0), spans)
+    assert (label(10, 19, "phone"), label(10, 19, "card"), label(10, 16, "phone"), label(43, 52, "phone")) == (1, 0, -1, -1)
+
+
+def test_fit_takes_the_services_labels(spark, make_dir, monkeypatch):
+    requests = [{"request_id": i, "question": f"Ring Ada eller {i} 555 {i:02d}"} for i in range(40)]
+    results = [{"trace_id": str(i), "request_id": i, "question": "Ring [NAME] eller " + f"{i} 555 {i:02d}"} for i in range(40)]
+    assert pii.placed_rows(spark, make_dir(ask_requests=requests, ask_results=results))[0][1].startswith("Ring [NAME]")
+    seen = []
+    monkeypatch.setattr(pii, "placed_label", lambda c, spans: seen.append(spans) or -1)
+    pii.fit(spark, "/root/testdata/sf0.001")
+    assert seen and all(seen)
+
+
 def test_exported_trees_score_as_spark_does(spark):
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array

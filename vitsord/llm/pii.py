@@ -5,8 +5,9 @@ a cue or with a word known from such places); gradient-boosted trees score each
 a threshold for each type, calibrated on held-out candidates, selects what is redacted. Of overlapping spans the surer one stays.
 
 The trees are a Spark ML ``GBTClassifier``, fitted on the candidates of at most ``FIT_ROWS`` questions. Labels come from checks that
-define a type (check digits, dates, dialling prefixes, street words, cues of names) and from the placeholders that the service
-already put at the same place of the same question. The fitted trees are read back as arrays, so that scoring happens in the
+define a type (check digits, dates, dialling prefixes, street words, cues of names); in at most ``PLACED_ROWS`` questions of which the
+service has redacted something, its placeholders are the labels: what stands at one is of its type, whatever the rules say, and what it
+passed over is unknown. Thresholds are calibrated on a quarter of both. The fitted trees are read back as arrays, so that scoring happens in the
 pass that proposes the candidates, without a shuffle.
 
 Defined results: null and empty texts have no item; placeholders such as ``[EMAIL]`` are none; equal rows give each item once; empty
@@ -33,6 +34,8 @@ from .sentences import bounded_sample
 
 #: Most questions whose candidates the trees are fitted on.
 FIT_ROWS = 9000
+#: Most redacted questions that are aligned with their originals for labels.
+PLACED_ROWS = 9000
 TREES, DEPTH = 16, 4
 
 TYPES = ("email", "phone", "identity_number", "address", "name", "iban", "card")
@@ -368,11 +371,52 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.unionByName(results)
 
 
+# The service's placeholders and their types.
+_PLACED = {"[EMAIL]": "email", "[PHONE]": "phone", "[PERSONNUMMER]": "identity_number", "[SAMORDNINGSNUMMER]": "identity_number", "[IDENTITY_NUMBER]": "identity_number", "[ADDRESS]": "address", "[NAME]": "name", "[IBAN]": "iban", "[CARD]": "card"}
+_HOLDER = re.compile(r"(\[[A-ZÅÄÖ_]{2,}\])")
+
+
+def placed(text: str, redacted: str) -> list[tuple[int, int, str]]:
+    """(start, end, type) of what the service replaced in ``text`` to get ``redacted``; none where the two cannot be aligned surely."""
+    parts = _HOLDER.split(redacted)
+    if not text.startswith(parts[0]):
+        return []
+    out, at = [], len(parts[0])
+    for i in range(1, len(parts), 2):
+        behind, last = parts[i + 1], i + 2 == len(parts)
+        end = len(text) - len(behind) if last and text.endswith(behind) else text.find(behind, at + 1) if behind and not last else -1
+        if end <= at:
+            return []
+        if parts[i] in _PLACED:
+            out.append((at, end, _PLACED[parts[i]]))
+        at = end + len(behind)
+    return out
+
+
+def placed_label(candidate: Candidate, spans: list[tuple[int, int, str]]) -> int:
+    """1 for a span that the service replaced as that type, 0 for another type at its place, else -1 for unknown."""
+    a, b, kind = candidate[:3]
+    if (a, b, kind) in spans:
+        return 1
+    return 0 if any(a < e and b > s and kind != k for s, e, k in spans) else -1
+
+
+def placed_rows(spark: SparkSession, sf_dir: str) -> list[tuple[str, str]]:
+    """(question, redacted question) of a bounded sample of the results in which the service replaced something."""
+    results = table(spark, sf_dir, "ask_results").where(F.col("question").rlike(_HOLDER.pattern)).select("request_id", F.col("question").alias("redacted"))
+    asked = table(spark, sf_dir, "ask_requests").where("question is not null").select("request_id", "question")
+    pairs = bounded_sample(results, "redacted", PLACED_ROWS).dropDuplicates().join(asked, "request_id").select("question", "redacted").dropDuplicates()
+    return sorted((r["question"], r["redacted"]) for r in pairs.collect())
+
+
 def fit(spark: SparkSession, sf_dir: str) -> Finder:
     questions = table(spark, sf_dir, "ask_requests").where("question is not null").select("question")
     texts = sorted(r["question"] for r in bounded_sample(questions, "question", FIT_ROWS).dropDuplicates().collect())
     names = name_words(texts)
     rows = [(TYPES.index(c[2]), c[3], c[4], i % 4 == 0) for i, t in enumerate(texts) for c in candidates(t, names) if c[4] >= 0]
+    for i, (text, redacted) in enumerate(placed_rows(spark, sf_dir)):
+        if spans := placed(text, redacted):
+            rows += [(TYPES.index(c[2]), c[3], y, i % 4 == 0) for c in candidates(text, names) if (y := placed_label(c, spans)) >= 0]
     train = [(float(label), f) for _, f, label, held in rows if not held]
     if len({label for label, _ in train}) < 2:
         return Finder(names, Trees(""), dict.fromkeys(TYPES, 2.0))
