@@ -58,9 +58,35 @@ def test_languages():
         "fi": ["Haluaisin tietää miten haen tukea.", "Sinun on lähetettävä lomake toimistoon.", "Milloin avaatte maanantaina aamulla?"],
     }
     model = language.fit_model([(k, t) for k, v in base.items() for t in v])
-    assert [x for x, _ in model.segments("How do I send the form to the office?")] == ["en"]
-    assert [x for x, _ in model.segments("Hur skickar jag blanketten till kontoret? You must send the form to the office.")] == ["sv", "en"]
-    assert model.segments("12:30 / 14:00") == [("und", 0.0)]
+    langs = lambda t: [x for x, _ in model.segments([t])[0]]
+    assert langs("How do I send the form to the office?") == ["en"]
+    assert langs("Hur skickar jag blanketten till kontoret? You must send the form to the office.") == ["sv", "en"]
+    assert langs('Hur skickar jag "Sinun on lähetettävä lomake toimistoon." till kontoret?') == ["sv", "fi", "sv"]
+    assert langs('Hur skickar jag "lomake" till kontoret?') == ["sv"]
+    assert langs("Hur skickar jag blanketten till Sirkka Kuusilehto på 070-174 06 05 eller a.b@c.test?") == ["sv"]
+    assert langs("12:30 / 14:00") == ["und"] and langs(None) == ["und"]
+    assert langs("Ω̱ξψ ζθφ") == ["und"]  # farther from every centroid than any language's own pieces
+
+
+def test_languages_under_wrong_labels():
+    """Two in five labels wrong, mostly those of the large language put on a small one: the small ones stay, the templates keep their language."""
+    rng = random.Random(5)
+    forms = {
+        "sv": ["Hur ansöker jag om {}?", "Vem beslutar om {} i kommunen?", "Varför fick jag avslag på min ansökan om {}?"],
+        "nb": ["Hvordan søker jeg om {}?", "Hvem bestemmer over {} i kommunen?", "Hvorfor fikk jeg avslag på søknaden min om {}?"],
+        "ar": ["كيف أقدم طلب {}؟", "من الذي يقرر بشأن {} في المدينة؟", "لماذا رُفض طلبي بخصوص {}؟"],
+    }
+    things = {"sv": ["bygglov", "bostadsstöd", "flytt", "språkkurs"], "nb": ["byggetillatelse", "bostøtte", "flytting", "språkkurs"], "ar": ["دعم السكن", "دورة اللغة"]}
+    ask = lambda k: rng.choice(forms[k]).format(rng.choice(things[k]))
+    rows = [("sv", ask("sv")) for _ in range(600)]
+    for small in ("nb", "ar"):
+        rows += [(small, ask(small)) for _ in range(60)] + [(small, ask("sv")) for _ in range(40)]
+        rows += [("sv", ask(small)) for _ in range(10)]
+    model = language.fit_model(rows)
+    for k in forms:
+        for form in forms[k]:
+            for thing in things[k]:
+                assert model.segments([form.format(thing)])[0][0][0] == k
 
 
 def test_language_codes(spark):

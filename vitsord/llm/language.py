@@ -1,12 +1,15 @@
 """Missing or wrong language labels, for whole questions and for the segments of mixed ones (problem 2).
 
-Method: nearest-centroid classification. A piece of text is a normalised TF-IDF vector of letter n-grams and words; each
-language has several centroids (spherical k-means over cleaned labelled sentences); the cosine to the nearest one decides, and
-a piece that lies too far from every centroid is rejected. The pieces of a question are joined to segments by dynamic
-programming with a cost for each change of language, so that names, numbers and single borrowed words make none.
+Method: nearest-centroid classification. A piece of text is a normalised TF-IDF vector of hashed letter n-grams and words; each
+language has several centroids (spherical k-means over cleaned labelled pieces); the cosine to the nearest one decides, and a piece
+that lies farther from every centroid than the language's own pieces do is rejected: it makes no segment, and a question of
+rejected pieces alone is ``und``. The pieces of a question are joined to segments by dynamic programming with a cost for each
+change of language, so that names, numbers and single borrowed words make none.
 
-Fit: on at most ``FIT_PER_LANGUAGE`` labelled texts per language and table, chosen by hash. Labels may be wrong: sentences whose
-neighbours mostly bear another label are left out before clustering.
+Fit: on at most ``FIT_DOCUMENTS`` and ``FIT_QUESTIONS`` labelled texts, chosen by hash; nothing else is bounded. Labels may be
+wrong: a piece has the label of most of its occurrences, stays only if most nearly equal pieces have it too, and, where these are
+few, only while that label's mean, without the piece itself, is about the nearest. All labels weigh the same in means and
+document frequencies, however many rows they have, so neither a large neighbour nor stray foreign rows can take over a small one.
 
 Defined results: a null, empty or wordless question is one segment ``und`` with confidence 0; equal rows count once; empty
 tables give empty results; further columns are ignored. Ties between languages go to the first in ``LANGUAGES``.
@@ -27,22 +30,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import spread, table
-from .sentences import bounded_sample
-
-#: Most labelled texts of one language and table that the centroids are fitted on.
-FIT_PER_LANGUAGE = 350
-#: Most unlabelled questions used for the second fit.
-FIT_REQUESTS = 4000
-#: Most sentences of one language used for its centroids.
-SENTENCES_PER_LANGUAGE = 900
-CENTROIDS = 4
-FEATURES = 12_000
-#: Cosine below which a piece belongs to no language.
-REJECT = 0.02
-#: Cost of a change of language, in cosine times letters.
-SWITCH = 2.5
-#: The same at a visible break (line, dash, bracket, quotation), and inside what may be one sentence.
-SWITCH_BREAK, SWITCH_INSIDE = 1.2, 4.0
+
+#: Most labelled documents and evaluation questions that the centroids are fitted on.
+FIT_DOCUMENTS, FIT_QUESTIONS = 4000, 6000
+#: Pieces for one centroid, and most centroids of a language beside its mean.
+PER_CENTROID, CENTROIDS = 40, 16
+#: A labelled piece stays while its own label's mean is at least so near, against the nearest other one.
+NEAR = 0.8
+#: How many times a word counts beside its n-grams.
+WORD = 3
+#: Hash buckets of the features.
+BUCKETS = 1 << 16
+#: Cosine from which labelled pieces are nearly equal, and their votes from which a label is taken as known.
+ALIKE, VOTES = 0.6, 4
+#: Share of the usual cosine of a language's own pieces below which a piece is rejected.
+REJECT = 0.05
+#: Cost of a change of language in cosine times letters, by the break before the piece.
+COST = {"inside": 6.0, "end": 3.5, "script": 2.5, "mark": 2.5, "quote": 0.2}
+#: Weight of a feature that no two labelled pieces have, against the median of the others.
+UNKNOWN = 0.3
+#: Letters of a piece that count.
+FULL = 80
+#: Rows of features that are multiplied at once.
+CHUNK = 60_000
 
 LANGUAGES = "en sv nb da fi de es pl so ar fa uk zh ja th hi".split()
 
@@ -67,12 +77,10 @@ NOTATIONS = {
 }
 
 _CONTACT = regex.compile(
-    r"<?[\w.+-]+\s*(?:@|[\[(]\s*at\s*[\])]| at )\s*[\w-]+(?:\s*(?:\.(?=\w)|[\[(]\s*dot\s*[\])]| dot )\s*[\w-]+)+>?|https?://\S+|www\.\S+|\[\p{Lu}+\]"
+    r"<?[\w.+-]+\s*(?:@|[\[(]\s*at\s*[\])]| at )\s*[\w-]+(?:\s*(?:\.(?=\w)|[\[(]\s*dot\s*[\])]| dot )\s*[\w-]+)+>?|(?:https?://|www\.)[!-~]+|\[\p{Lu}+\]"
 )
 _SCRIPTS = ("Latin", "Arabic", "Cyrillic", "Han}\\p{Hiragana}\\p{Katakana", "Thai", "Devanagari}\\p{Mn}\\p{Mc")
-_BREAKS = (
-    r"(?P<end>(?<=[.!?؟…][\"'”»“)\]]?)\s+|(?<=[。！？।]))|(?P<mark>\n+|\s+[-–—/|]\s+|[\"“”„«»「」()（）])|(?P<inside>(?<=[\p{Ll}\p{Lo}])\s+(?=\p{Lu}\p{Ll}))"
-)
+_BREAKS = r"(?P<end>[.!?؟…][\"'”»“)\]]?\s+|[。！？।])|(?P<mark>\n+|\s[-–—/|]\s|[()（）])"
 _SPLIT = regex.compile(_BREAKS)
 _SPLIT_SCRIPTS = regex.compile(
     _BREAKS
@@ -80,255 +88,344 @@ _SPLIT_SCRIPTS = regex.compile(
     + "|".join(f"(?<=[\\p{{{a}}}])[\\s,]+(?=[\\p{{{b}}}])" for a in _SCRIPTS for b in _SCRIPTS if a != b).replace("\\\\p", "\\p")
     + ")"
 )
+_LATIN = regex.compile(r"\p{Latin}")
+_INITIAL = regex.compile(r"\b\p{Lu}$")
 _OTHER_SCRIPT = regex.compile(r"[\p{L}--\p{Latin}]", regex.V1)
-_QUOTE = regex.compile(r"[\"“”„«»「」]")
-_SCRIPT = regex.compile(r"(?P<Han>\p{Han})|(?P<Kana>[\p{Hiragana}\p{Katakana}])|(?P<Thai>\p{Thai})|(?P<Arab>\p{Arabic})|(?P<Cyrl>\p{Cyrillic})|(?P<Deva>\p{Devanagari})")
-_SENTENCES = regex.compile(r"(?<=[.!?؟。！？।])\s+|(?<=[。！？।])|\n+")
+_QUOTED = regex.compile(r"\"([^\"\n]+)\"|[“”]([^“”\n]+)[“”]|„([^„“”\n]+)[“”]|«([^«»\n]+)»|»([^«»\n]+)«|「([^「」\n]+)」")
 _WORD = regex.compile(r"[\p{L}\p{M}'’‌]+")
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]")
 _MARKS = regex.compile(r"\p{Mn}+")
+_CLOSED = regex.compile(r"[.!?؟…。！？।]\s*$")
+
+#: (words of a clause, the break before it, the clause whose sentence goes on in it or -1)
+Piece = tuple[list[str], str, int]
+
+
+def _inside(words: list[str], kind: str) -> Iterator[tuple[list[str], str]]:
+    """A clause cut once more where a capital may open a sentence after one without a mark: between small words, three before, four from it on."""
+    at = 0
+    for i in range(3, len(words) - 3):
+        if i - at >= 3 and words[i][0].isupper() and words[i - 1].islower() and words[i + 1].islower():
+            yield words[at:i], kind
+            at, kind = i, "inside"
+    yield words[at:], kind
+
+
+def _clauses(text: str, kind: str) -> list[tuple[list[str], str]]:
+    """Clauses with words of a stretch without quotations; ``kind`` is the break before the first."""
+    out, at, pending = [], 0, kind
+    order = ("script", "end", "mark", "quote")
+    for m in (_SPLIT_SCRIPTS if _OTHER_SCRIPT.search(text) and _LATIN.search(text) else _SPLIT).finditer(text):
+        if text[m.start()] == "." and _INITIAL.search(text, max(at, m.start() - 2), m.start()):
+            continue  # a name's first letter
+        words = _WORD.findall(text[at : m.start()])
+        if words:
+            out += _inside(words, pending)
+            pending = m.lastgroup
+        else:
+            pending = max(pending, m.lastgroup, key=order.index)
+        at = m.end()
+    words = _WORD.findall(text[at:])
+    if words:
+        out += _inside(words, pending)
+    return out
 
 
-def pieces(text: str | None) -> list[tuple[str, str]]:
-    """(clause, the break before it) of a question in reading order, without contact details; a clause may be part of a sentence."""
+def pieces(text: str | None) -> list[Piece]:
+    """The clauses of a question in reading order, without contact details; both sides of a quotation inside a sentence are tied."""
     if not text:
         return []
     text = unicodedata.normalize("NFC", text)
     if any(x in text for x in ("@", "[", "(", "www.", "://", " at ")):
         text = _CONTACT.sub(" ", text)
-    out, at, kind = [], 0, "end"
-    for m in (_SPLIT_SCRIPTS if _OTHER_SCRIPT.search(text) else _SPLIT).finditer(text):
-        out.append((text[at : m.start()], kind))
-        at, kind = m.end(), "quote" if _QUOTE.search(m.group()) else m.lastgroup
-    out.append((text[at:], kind))
-    kept, pending = [], "inside"
-    for piece, kind in out:
-        pending = max(pending, kind, key=("inside", "script", "end", "mark", "quote").index)
-        if _WORD.search(piece):
-            kept.append((piece, pending))
-            pending = "inside"
-    return kept
-
-
-def features(piece: str) -> Counter:
-    """Letter n-grams within words, whole words; for scripts without spaces n-grams only."""
-    out: Counter = Counter()
-    for word in _WORD.findall(piece.lower()):
-        if _CJK.search(word):
-            for n in (1, 2, 3):
-                for i in range(len(word) - n + 1):
-                    out[word[i : i + n]] += 1
-            continue
-        padded = f" {word[:24]} "
-        for n in (2, 3):
-            for i in range(len(padded) - n + 1):
-                out[padded[i : i + n]] += 1
-        out["=" + word[:24]] += 2
-    for m in _SCRIPT.finditer(piece):
-        out["#" + m.lastgroup] += 1
+    out: list[Piece] = []
+    at, kind, open_ = 0, "end", -1  # open_: the clause before a quotation, where its sentence is not closed there
+
+    def add(stretch: str, kind: str, open_: int) -> None:
+        for j, (words, k) in enumerate(_clauses(stretch, kind)):
+            out.append((words, k, open_ if j == 0 else -1))
+
+    for m in _QUOTED.finditer(text):
+        inside = m.group()[1:-1]
+        words = _WORD.findall(inside)
+        if len(words) < 2 and not (words and _CJK.search(words[0]) and len(words[0]) > 3):
+            continue  # a quoted single word belongs to its sentence
+        before = text[at : m.start()]
+        add(before, kind, open_)
+        open_ = len(out) - 1 if _WORD.search(before) and not _CLOSED.search(before) else -1
+        add(inside, "quote", -1)
+        at, kind = m.end(), "quote"
+    add(text[at:], kind, open_)
     return out
 
 
+def _no_names(words: list[str]) -> list[str]:
+    """Words without the capitalised ones inside the clause, where most are small."""
+    small = [w for i, w in enumerate(words) if i == 0 or len(w) == 1 or not w[0].isupper()]
+    return small if len(small) >= 3 and 2 * len(small) >= len(words) else words
+
+
+def whole(parts: list[Piece]) -> list[list[str]]:
+    """The words each clause is judged by: without names, and both sides of a quotation as one."""
+    joined = {i: parts[i][0] + words for words, _, i in parts if i >= 0}
+    return [_no_names(joined[tied] if tied >= 0 else joined.get(j, words)) for j, (words, _, tied) in enumerate(parts)]
+
+
 def plain(text: str) -> str:
     """``text`` as typed on a keyboard without its accents."""
     return _MARKS.sub("", unicodedata.normalize("NFD", text)).replace("ø", "o").replace("æ", "ae").replace("ł", "l").replace("ß", "ss")
 
 
-_COST = {"inside": SWITCH_INSIDE, "end": SWITCH, "script": SWITCH_BREAK, "mark": SWITCH_BREAK, "quote": SWITCH_BREAK}
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+class Rows:
+    """Sparse rows: ``bucket`` and ``count`` of each feature, ``start`` of each row; built for many texts at once."""
+
+    def __init__(self, bucket: np.ndarray, count: np.ndarray, start: np.ndarray):
+        self.bucket, self.count, self.start = bucket, count, start
+        self.n = len(start) - 1
+        self.row = np.repeat(np.arange(self.n), np.diff(start))
+
+    def some(self, which: np.ndarray) -> Rows:
+        length = np.diff(self.start)[which]
+        start = np.concatenate([[0], np.cumsum(length)])
+        at = np.repeat(self.start[which] - start[:-1], length) + np.arange(start[-1])
+        return Rows(self.bucket[at], self.count[at], start)
+
+
+def features(texts: list[str]) -> Rows:
+    """Letter n-grams within words (of two and three letters, of one outside Latin) and whole words, hashed into ``BUCKETS``.
+
+    Each text is words with one space between; a space also stands for the end of a word in its n-grams.
+    """
+    lengths = np.array([len(t) + 2 for t in texts], np.int64)
+    a = np.frombuffer("".join(f" {t} " for t in texts).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    row = np.repeat(np.arange(len(texts), dtype=np.uint64), lengths)
+    letter = a != 32
+    keys, rows = [], []
+
+    def take(mask: np.ndarray, hashed: np.ndarray) -> None:
+        rows.append(row[: len(mask)][mask])
+        keys.append(_mixed(hashed) >> np.uint64(64 - BUCKETS.bit_length() + 1))
+
+    if len(a) >= 3:
+        m = (letter[:-1] | letter[1:]) & (row[:-1] == row[1:])
+        take(m, (a[:-1][m] << np.uint64(21)) | a[1:][m] | np.uint64(1 << 62))
+        m = letter[1:-1]
+        take(m, (a[:-2][m] << np.uint64(42)) ^ (a[1:-1][m] << np.uint64(21)) ^ a[2:][m] ^ np.uint64(1 << 63))
+        m = a >= 0x250
+        take(m, a[m])
+        first = np.flatnonzero(letter & ~np.concatenate([[False], letter[:-1]]))
+        if len(first):
+            at = np.arange(len(a), dtype=np.int64)
+            begin = np.zeros(len(a), np.int64)
+            begin[first] = first
+            place = (at - np.maximum.accumulate(begin)).astype(np.uint64)
+            word = np.add.reduceat(np.where(letter, _mixed(a | (place << np.uint64(24))), np.uint64(0)), first)
+            spaced = ~(((a[first] >= 0x0E00) & (a[first] < 0x0E80)) | (a[first] >= 0x3040))
+            bucket = _mixed(word[spaced]) >> np.uint64(64 - BUCKETS.bit_length() + 1)
+            for _ in range(WORD):
+                keys.append(bucket)
+                rows.append(row[first][spaced])
+    key = np.concatenate(rows) * np.uint64(BUCKETS) + np.concatenate(keys) if keys else np.empty(0, np.uint64)
+    key, count = np.unique(key, return_counts=True)
+    return Rows((key % np.uint64(BUCKETS)).astype(np.int64), count, np.searchsorted(key, np.arange(len(texts) + 1, dtype=np.uint64) * np.uint64(BUCKETS)))
+
+
+def weighted(rows: Rows, idf: np.ndarray) -> np.ndarray:
+    """TF-IDF weights of all features, each row of length 1."""
+    w = ((1 + np.log(rows.count)) * idf[rows.bucket]).astype(np.float32)
+    norm = np.sqrt(np.bincount(rows.row, w * w, rows.n))
+    return w / np.maximum(1e-9, norm)[rows.row].astype(np.float32)
+
+
+def cosines(rows: Rows, w: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Cosine of each row to each column of ``centroids`` (buckets by centroids)."""
+    out = np.zeros((rows.n, centroids.shape[1]), np.float32)
+    length = np.diff(rows.start)
+    order = np.argsort(length, kind="stable")
+    at = int(np.searchsorted(length[order], 1))
+    while at < rows.n:
+        upto = at + 1
+        while upto < rows.n and (upto + 1 - at) * length[order[upto]] <= CHUNK:
+            upto = min(rows.n, max(upto + 1, at + CHUNK // int(length[order[upto]]) // 2))
+        some = order[at:upto]
+        wide = np.arange(length[some[-1]])
+        there = wide < length[some][:, None]
+        feature = np.where(there, rows.start[some][:, None] + wide, 0)
+        out[some] = np.matmul(np.where(there, w[feature], 0)[:, None, :], centroids[rows.bucket[feature]])[:, 0]
+        at = upto
+    return out
 
 
 class LanguageModel:
-    def __init__(self, vocabulary: dict[str, int], idf: np.ndarray, centroids: np.ndarray, owners: np.ndarray):
-        self.vocabulary, self.idf, self.centroids, self.owners = vocabulary, idf, centroids, owners
+    def __init__(self, idf: np.ndarray, centroids: np.ndarray, owners: np.ndarray, usual: np.ndarray):
+        self.idf, self.centroids, self.owners = idf, centroids, owners
+        #: Usual cosine of each language's own pieces to their nearest centroid.
+        self.usual = usual
         #: Where the centroids of each language begin; they lie together.
         self.starts = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1]]))
-        #: Weight of a feature that no labelled sentence has, as in a name: it makes a piece less like any language.
-        self.unknown = float(np.median(idf)) if len(idf) else 0.0
-        self.cache: dict[str, np.ndarray | None] = {}
-
-    def vector(self, piece: str) -> tuple[np.ndarray, np.ndarray] | None:
-        all_ = features(piece)
-        found = [(self.vocabulary[f], n) for f, n in all_.items() if f in self.vocabulary]
-        if not found:
-            return None
-        unknown = self.unknown * math.sqrt(len(all_) - len(found))
-        index = np.fromiter((i for i, _ in found), np.int64, len(found))
-        weight = (1 + np.log(np.fromiter((n for _, n in found), np.float64, len(found)))) * self.idf[index]
-        return index, weight / math.sqrt(float(weight @ weight) + unknown * unknown)
-
-    def similarities(self, piece: str) -> np.ndarray | None:
-        """Cosine to the nearest centroid of each language; none where no feature is known."""
-        if piece in self.cache:
-            return self.cache[piece]
-        v, out = self.vector(piece), None
-        if v is not None:
-            cosines = v[1] @ self.centroids[v[0]]
-            out = np.zeros(len(LANGUAGES))
-            out[self.owners[self.starts]] = np.maximum.reduceat(cosines, self.starts)
-        if len(self.cache) < 50_000:
-            self.cache[piece] = out
+
+    def similarities(self, texts: list[str]) -> np.ndarray:
+        """Cosine to the nearest centroid of each language; zeros for a text that is rejected."""
+        rows = features(texts)
+        found = cosines(rows, weighted(rows, self.idf), self.centroids)
+        out = np.zeros((len(texts), len(LANGUAGES)))
+        out[:, self.owners[self.starts]] = np.maximum.reduceat(found, self.starts, axis=1)
+        top = out.argmax(axis=1)
+        out[out[np.arange(len(texts)), top] < REJECT * self.usual[top]] = 0
         return out
 
-    def segments(self, text: str | None) -> list[tuple[str, float]]:
-        """(language, confidence) of each segment in reading order."""
-        parts = pieces(text)
-        if not parts:
+    def segments(self, texts: list[str | None]) -> list[list[tuple[str, float]]]:
+        """(language, confidence) of each segment in reading order, for every text."""
+        parts = [pieces(t) for t in texts]
+        judged, places = {}, []
+        for p in parts:
+            places.append([(judged.setdefault(" ".join(words).lower(), len(judged)), words) for words in whole(p)])
+        cosine = self.similarities(list(judged)) if judged else np.zeros((0, len(LANGUAGES)))
+        top = cosine.argmax(axis=1).tolist()
+        best, second = np.sort(cosine, axis=1)[:, :-3:-1].T if judged else (np.zeros(0), np.zeros(0))
+        sure = np.round(np.minimum(1, (best - second) / np.maximum(1e-9, best) * 2), 4).tolist()
+        one = [[(LANGUAGES[k], c) if b else ("und", 0.0)] for k, c, b in zip(top, sure, best)]
+        return [self._joined(p, here, cosine) if len(p) > 1 else list(one[here[0][0]]) if p else [("und", 0.0)] for p, here in zip(parts, places)]
+
+    def _joined(self, parts: list[Piece], places: list[tuple[int, list[str]]], cosine: np.ndarray) -> list[tuple[str, float]]:
+        weight = np.empty(len(parts))
+        for i, (_, words) in enumerate(places):
+            letters = sum(map(len, words)) * (3 if _CJK.search(words[0]) else 1)
+            # a name or borrowed word is too little for a segment of its own
+            weight[i] = 0.05 if len(words) < 2 and letters < 16 else min(letters, FULL)
+        at = [i for i, _ in places]
+        score = weight[:, None] * cosine[at]
+        tops = score.argmax(axis=1).tolist()
+        seen = {k for k, (i, _) in zip(tops, places) if cosine[i, k] > 0}
+        if not seen:
             return [("und", 0.0)]
-        k = len(LANGUAGES)
-        score = np.zeros((len(parts), k))
-        size = np.zeros(len(parts))
-        around = self._around_quotes(parts)
-        for i, (piece, _) in enumerate(parts):
-            piece = around.get(i, piece)
-            words = _WORD.findall(piece)
-            letters = sum(map(len, words)) * (3 if _CJK.search(piece) else 1)
-            cosine = self.similarities(" ".join(words).lower())  # without numbers and marks, so that alike pieces are one
-            if cosine is None or cosine.max() < REJECT:
-                continue
-            size[i] = letters
-            if len(words) < 2 and letters < 16 and len(parts) > 1:
-                score[i] = 0.05 * cosine  # a name or borrowed word: too little for a segment of its own
-            else:
-                score[i] = cosine * min(letters, 80)
-        if not size.any():
-            return [(self._far(parts), 0.0)]
-        best = score[0].copy()
-        back = np.zeros((len(parts), k), np.int64)
-        for i in range(1, len(parts)):
-            jump = int(best.argmax())
-            cost = _COST[parts[i][1]]
-            stay = best >= best[jump] - cost
-            back[i] = np.where(stay, np.arange(k), jump)
-            best = np.where(stay, best, best[jump] - cost) + score[i]
-        path = [int(best.argmax())]
-        for i in range(len(parts) - 1, 0, -1):
-            path.append(int(back[i][path[-1]]))
-        path.reverse()
+        if len(seen) == 1:
+            path = list(seen) * len(parts)
+        else:
+            best, back = score[0].copy(), np.zeros(score.shape, np.int64)
+            for i in range(1, len(parts)):
+                jump, cost = int(best.argmax()), COST[parts[i][1]]
+                stay = best >= best[jump] - cost
+                back[i] = np.where(stay, np.arange(len(best)), jump)
+                best = np.where(stay, best, best[jump] - cost) + score[i]
+            path = [int(best.argmax())]
+            for i in range(len(parts) - 1, 0, -1):
+                path.append(int(back[i][path[-1]]))
+            path.reverse()
         out, start = [], 0
         for i in range(1, len(parts) + 1):
             if i == len(parts) or path[i] != path[start]:
-                total = score[start:i].sum(axis=0)
-                top = total[path[start]]
-                second = np.delete(total, path[start]).max()
-                out.append((LANGUAGES[path[start]], round(float(max(0.0, min(1.0, (top - second) / top * 2))) if top > 0 else 0.0, 4)))
+                total = score[start:i].sum(axis=0).tolist()
+                top = total.pop(path[start])
+                out.append((LANGUAGES[path[start]], round(max(0.0, min(1.0, (top - max(total)) / top * 2)), 4) if top > 0 else 0.0))
                 start = i
         return out
 
-    def whole(self, text: str) -> str | None:
-        """The language of a question taken as one, where it is clearly ahead."""
-        total = np.zeros(len(LANGUAGES))
-        for piece, _ in pieces(text):
-            cosine = self.similarities(piece)
-            if cosine is not None:
-                total += cosine * min(80, len(piece))
-        a, b = np.argsort(total)[::-1][:2]
-        return LANGUAGES[int(a)] if total[a] > 1.5 * total[b] else None
-
-    def _around_quotes(self, parts: list[tuple[str, str]]) -> dict[int, str]:
-        """Both sides of a quotation inside a sentence are one sentence: each is judged by the two together."""
-        out, marks = {}, [i for i in range(1, len(parts)) if parts[i][1] == "quote"]
-        for i, j in zip(marks[::2], marks[1::2]):
-            if len(_WORD.findall(" ".join(p for p, _ in parts[i:j]))) > 1:
-                out[i - 1] = out[j] = parts[i - 1][0] + " " + parts[j][0]
-        return out
 
-    def _far(self, parts: list[tuple[str, str]]) -> str:
-        """Language of words that no centroid knows well: the nearest all the same, if any shares a feature."""
-        total = np.zeros(len(LANGUAGES))
-        for piece, _ in parts:
-            cosine = self.similarities(piece)
-            if cosine is not None:
-                total += cosine
-        return LANGUAGES[int(total.argmax())] if total.any() else "und"
+def _means(rows: Rows, w: np.ndarray, owners: np.ndarray, keep: np.ndarray, k: int, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Normalised mean vector of each owner's kept rows, as columns, and the lengths of the sums."""
+    of = owners[rows.row]
+    on = keep[rows.row]
+    if times is not None:
+        w = w * times[rows.row]
+    sums = np.bincount(rows.bucket[on] * k + of[on], w[on], BUCKETS * k).reshape(BUCKETS, k)
+    size = np.maximum(1e-9, np.sqrt((sums * sums).sum(axis=0)))
+    return (sums / size).astype(np.float32), size
 
 
 def fit_model(labelled: list[tuple[str, str]]) -> LanguageModel:
     """Centroids from (language, text) pairs, some of them wrongly labelled."""
-    rng = np.random.default_rng(7)
-    pools: dict[str, set[str]] = {lang: set() for lang in LANGUAGES}
+    votes: dict[str, Counter] = {}
     for lang, text in labelled:
-        pools[lang].update(x for x in _SENTENCES.split(text) if len(_WORD.findall(x)) >= 3 or _CJK.search(x))
-    rows: list[Counter] = []
-    owner: list[int] = []
-    for k, lang in enumerate(LANGUAGES):
-        pool = sorted(pools[lang])
-        if len(pool) > SENTENCES_PER_LANGUAGE:
-            pool = [pool[i] for i in sorted(rng.choice(len(pool), SENTENCES_PER_LANGUAGE, replace=False))]
-        for j, sentence in enumerate(pool):
-            rows.append(features(plain(sentence) if j % 4 == 3 else sentence))
-            owner.append(k)
-    df = Counter(f for row in rows for f in row)
-    chosen = [f for f, n in sorted(df.items(), key=lambda x: (-x[1], x[0])) if n >= 2][:FEATURES]
-    vocabulary = {f: i for i, f in enumerate(chosen)}
-    idf = np.array([math.log(1 + len(rows) / df[f]) for f in chosen])
-    sparse = []
-    for row in rows:
-        found = sorted((vocabulary[f], n) for f, n in row.items() if f in vocabulary)
-        sparse.append((np.array([i for i, _ in found], np.int64), 1 + np.log(np.array([n for _, n in found], np.float64)) if found else np.empty(0)))
-    owners = np.array(owner, np.int64)
-    keep = _agreeing(sparse, idf, owners, rng)
-
-    def dense(which: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(which), len(chosen)), np.float32)
-        for r, i in enumerate(which):
-            index, tf = sparse[i]
-            if len(index):
-                v = tf * weight[index]
-                out[r, index] = v / max(1e-9, math.sqrt(float(v @ v)))
-        return out
-
-    # what many languages share says little: inverse class frequency beside the inverse sentence frequency
-    share = np.zeros((len(LANGUAGES), len(chosen)))
-    for k in range(len(LANGUAGES)):
-        which = np.flatnonzero(keep & (owners == k))
-        for i in which:
-            share[k, sparse[i][0]] += 1.0 / len(which)
-    share[share < 0.02 * share.max(axis=0)] = 0
-    share = share / (share + 0.004)  # present or not, whatever the variety of a language's sentences
-    p = share / np.maximum(1e-12, share.sum(axis=0))
-    spread_out = -(p * np.log(np.maximum(p, 1e-12))).sum(axis=0) / math.log(len(LANGUAGES))
-    idf = idf * (1.02 - np.minimum(1.0, spread_out * 1.5))
-    found_centroids, found_owners = [], []
-    for k in range(len(LANGUAGES)):
-        which = np.flatnonzero(keep & (owners == k))
+        for words in whole(pieces(text)):
+            if len(words) >= 3 or _CJK.search("".join(words)):
+                votes.setdefault(" ".join(words).lower(), Counter())[LANGUAGES.index(lang)] += 1
+    # the same piece under several labels has the label of most of its occurrences
+    owned = sorted((k, piece, n) for piece, v in votes.items() for k, n in v.items() if n == max(v.values()))
+    owners, times = np.array([k for k, _, _ in owned], np.int64), np.array([n for _, _, n in owned], np.float32)
+    k = len(LANGUAGES)
+    if not owned:  # no labelled piece: nothing is near
+        return LanguageModel(np.ones(BUCKETS, np.float32), np.zeros((BUCKETS, 1), np.float32), np.zeros(1, np.int64), np.ones(k))
+    rows = features([plain(t) if i % 4 == 3 else t for i, (_, t, _) in enumerate(owned)])
+    rng = np.random.default_rng(7)
+    agree, known = _alike(rows, owners, times, rng)
+    keep, few = agree, np.bincount(owners[agree], minlength=k)[owners] < 4  # too few pieces to be held against each other
+    for turn in range(6):
+        idf = _class_weights(rows, owners, keep, turn > 1)
+        w = weighted(rows, idf)
+        means, size = _means(rows, w, owners, keep, k)
+        found = cosines(rows, w, means)
+        own = found[np.arange(rows.n), owners] - np.where(keep, 1 / size[owners], 0)  # a piece is no evidence for its own label
+        found[np.arange(rows.n), owners] = 0
+        agreeing = agree & (known | few | (own > found.max(axis=1) * (NEAR if turn > 2 else 1)))
+        if turn > 3 and (agreeing == keep).all():
+            break
+        keep = agreeing
+    centroids, languages, usual = [], [], np.ones(k)
+    for lang in range(k):
+        which = np.flatnonzero(keep & (owners == lang))
         if not len(which):
             continue
-        x = dense(which, idf)
-        c = x[rng.choice(len(x), min(CENTROIDS, len(x)), replace=False)]
-        for _ in range(8):
-            at = (x @ c.T).argmax(axis=1)
-            c = np.stack([x[at == j].mean(axis=0) if (at == j).any() else c[j] for j in range(len(c))])
-            c /= np.maximum(1e-9, np.linalg.norm(c, axis=1, keepdims=True))
-        mean = x.mean(axis=0)
-        # the mean of all sentences stands beside the clusters, for pieces that lie between them
-        for v in (*c, mean / max(1e-9, float(np.linalg.norm(mean)))):
-            found_centroids.append(v)
-            found_owners.append(k)
-    if not found_centroids:
-        return LanguageModel(vocabulary, idf, np.zeros((len(chosen), 1), np.float32), np.zeros(1, np.int64))
-    return LanguageModel(vocabulary, idf, np.ascontiguousarray(np.stack(found_centroids).T), np.array(found_owners))
-
-
-def _agreeing(sparse: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, owners: np.ndarray, rng: np.random.Generator, neighbours: int = 15) -> np.ndarray:
-    """Sentences whose label is also that of most of their nearest neighbours, found in a random projection of their vectors."""
-    n = len(sparse)
-    if n < 3 * neighbours:
-        return np.ones(n, bool)
-    projection = rng.standard_normal((len(idf), 192)).astype(np.float32)
-    low = np.zeros((n, projection.shape[1]), np.float32)
-    for i, (index, tf) in enumerate(sparse):
-        if len(index):
-            low[i] = (tf * idf[index]).astype(np.float32) @ projection[index]
+        own = rows.some(which)
+        v = weighted(own, idf)
+        every, often = np.ones(own.n, bool), np.sqrt(times[which])
+        c = mean = _means(own, v, np.zeros(own.n, np.int64), every, 1, often)[0]
+        n = min(CENTROIDS, max(own.n // PER_CENTROID, own.n // 4 if own.n < 16 else 4))
+        if n > 1:
+            at = rng.permutation(own.n) % n
+            for _ in range(8):
+                c = _means(own, v, at, every, n, often)[0]
+                at = cosines(own, v, c).argmax(axis=1)
+            # the mean of all pieces stands beside the clusters, for pieces that lie between them
+            c = np.concatenate([c[:, np.bincount(at, minlength=n) > 2], mean], axis=1)
+        usual[lang] = float(np.median(cosines(own, v, c).max(axis=1)))
+        centroids.append(c)
+        languages += [lang] * c.shape[1]
+    if not centroids:
+        return fit_model([])
+    return LanguageModel(idf.astype(np.float32), np.ascontiguousarray(np.concatenate(centroids, axis=1)), np.array(languages), usual)
+
+
+def _alike(rows: Rows, owners: np.ndarray, times: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Votes of nearly equal pieces: where a piece's label has most of them, and where it has many.
+
+    Nearly equal pieces are one sentence with other words in some places, so a language of few rows keeps the majority of its own.
+    """
+    w = weighted(rows, _class_weights(rows, owners, np.ones(rows.n, bool), False))
+    low = cosines(rows, w, rng.standard_normal((BUCKETS, 128), np.float32))
     low /= np.maximum(1e-9, np.linalg.norm(low, axis=1, keepdims=True))
-    keep = np.zeros(n, bool)
-    for start in range(0, n, 500):
-        near = low[start : start + 500] @ low.T
-        best = np.argpartition(-near, neighbours, axis=1)[:, :neighbours]
-        votes = np.zeros((len(near), len(LANGUAGES)))
-        for j in range(neighbours):
-            votes[np.arange(len(near)), owners[best[:, j]]] += 1
-        keep[start : start + 500] = votes.argmax(axis=1) == owners[start : start + 500]
-    return keep
+    ballot = np.zeros((rows.n, len(LANGUAGES)), np.float32)
+    ballot[np.arange(rows.n), owners] = times
+    votes = np.concatenate([(low[at : at + 1000] @ low.T > ALIKE).astype(np.float32) @ ballot for at in range(0, rows.n, 1000)])
+    own = votes[np.arange(rows.n), owners]
+    return own >= votes.max(axis=1), (own >= VOTES) & (own >= 0.6 * votes.sum(axis=1))
+
+
+def _class_weights(rows: Rows, owners: np.ndarray, keep: np.ndarray, clean: bool) -> np.ndarray:
+    """Inverse document frequency over the languages' shares; once labels are ``clean``, times how few languages a feature belongs to."""
+    k = len(LANGUAGES)
+    on = keep[rows.row]
+    sizes = np.maximum(1, np.bincount(owners[keep], minlength=k))
+    counts = np.bincount(rows.bucket[on] * k + owners[rows.row[on]], minlength=BUCKETS * k).reshape(BUCKETS, k)
+    share = counts / sizes
+    known = counts.sum(axis=1) > 1
+    idf = np.log(1 + 1 / np.maximum(share.mean(axis=1), 1e-3))
+    if not clean:
+        return idf
+    share[share < 0.05 * share.max(axis=1, keepdims=True)] = 0  # stray pieces of another language
+    p = share / (share + 0.002)  # present or not, whatever the variety of a language's pieces
+    p /= np.maximum(1e-12, p.sum(axis=1, keepdims=True))
+    mixed = -(p * np.log(np.maximum(p, 1e-12))).sum(axis=1) / math.log(k)
+    out = idf * (1.02 - np.minimum(1.0, mixed * 1.5))
+    # a feature that no labelled piece has, as in a name, makes a piece less like any language
+    out[~known] = UNKNOWN * float(np.median(out[known])) if known.any() else 1.0
+    return out
 
 
 def language_code(column: str) -> Column:
@@ -338,24 +435,16 @@ def language_code(column: str) -> Column:
     return F.coalesce(F.try_element_at(names, label), F.try_element_at(names, F.regexp_extract(label, r"^(\p{L}+)[-_]", 1)))
 
 
-def labelled_sample(df: DataFrame, text: str, per_language: int) -> DataFrame:
-    """At most about ``per_language`` rows (lang, text) of each language, chosen by hash."""
+def labelled_sample(df: DataFrame, text: str, most: int) -> DataFrame:
+    """About ``most`` rows (lang, text) at most, chosen by hash alike for all labels: so right labels outnumber wrong ones as in the table."""
     named = df.select(language_code("lang").alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null and text <> ''")
-    counts = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return named
-    limits = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(1_000_000 * min(1.0, per_language / n)))])
-    return named.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.element_at(limits, F.col("lang")))
+    n = named.count()
+    return named if n <= most else named.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * most / n))
 
 
 def fit(spark: SparkSession, sf_dir: str) -> LanguageModel:
-    sample = labelled_sample(table(spark, sf_dir, "documents"), "text", FIT_PER_LANGUAGE).unionByName(labelled_sample(table(spark, sf_dir, "eval_dataset"), "question", FIT_PER_LANGUAGE))
-    labelled = [(r["lang"], r["text"]) for r in sample.dropDuplicates().collect()]
-    model = fit_model(labelled)
-    # once more with unlabelled questions that the first model is sure of
-    questions = bounded_sample(table(spark, sf_dir, "ask_requests").where("question is not null").select("question"), "question", FIT_REQUESTS).dropDuplicates()
-    sure = [(model.whole(r["question"]), r["question"]) for r in questions.collect()]
-    return fit_model(labelled + [(lang, text) for lang, text in sure if lang])
+    sample = labelled_sample(table(spark, sf_dir, "documents"), "text", FIT_DOCUMENTS).unionByName(labelled_sample(table(spark, sf_dir, "eval_dataset"), "question", FIT_QUESTIONS))
+    return fit_model(sorted((r["lang"], r["text"]) for r in sample.collect()))
 
 
 _SCHEMA = "record_table string, record_id string, label string, langs array<string>, confidences array<double>"
@@ -367,16 +456,10 @@ def classified(df: DataFrame, model: LanguageModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = pickle.loads(shared.value)
-        seen: dict[str | None, list[tuple[str, float]]] = {}  # the same question is often asked again
         for batch in batches:
-            found = []
-            for t in batch.column(3).to_pylist():
-                f = seen.get(t)
-                if f is None:
-                    f = m.segments(t)
-                    if len(seen) < 100_000:
-                        seen[t] = f
-                found.append(f)
+            texts, at = np.unique(np.array(batch.column(3).fill_null("").to_pylist(), object), return_inverse=True)
+            each = m.segments(list(texts))
+            found = [each[i] for i in at]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array([[a for a, _ in f] for f in found], pa.list_(pa.string())), pa.array([[b for _, b in f] for f in found], pa.list_(pa.float64()))],
                 names=["record_table", "record_id", "label", "langs", "confidences"],
