@@ -224,6 +224,16 @@ def test_leaks_behind_a_shorter_part_of_the_same_item(between):
     assert index.leaks(" ".join(item[:35] + ["between"] * 400 + item[46:])) == []
 
 
+def test_leaks_in_blocks_of_items_and_in_texts_past_the_packed_width(spark, monkeypatch):
+    documents = spark.createDataFrame([(1, "x y z " + " ".join(f"w{i}" for i in range(30))), (2, "nothing here"), (3, " ".join(f"v{i}" for i in range(15)))], "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(f"{c}{j}" for j in range(30))) for i, c in enumerate("wvutsr")], "item_id long, text string")
+    whole = {tuple(r) for r in leakage.leaks(documents, items).collect()}
+    monkeypatch.setattr(leakage, "MOST_ITEMS", 2)
+    assert {tuple(r) for r in leakage.leaks(documents, items).collect()} == whole and {r[:2] for r in whole} == {(1, 0), (3, 1)}
+    item, text = np.arange(40), np.concatenate([np.full(140_000, -1), np.arange(40)])
+    assert leakage.align(item, text) == (40, 140_000, 140_039)
+
+
 def test_subsequence_bound_is_exact():
     rng = random.Random(6)
     for _ in range(60):
@@ -254,6 +264,32 @@ def test_mix_meets_targets(spark):
     assert capped["big"]["most_copies"] == 1 and capped["tiny"]["most_copies"] == 4
 
 
+def test_mix_of_heavy_tailed_sizes(spark):
+    """Pareto(1.1) sizes: the largest records do not overrun a source's tokens."""
+    rng = random.Random(8)
+    sizes = [("heavy", int(10 * rng.paretovariate(1.1))) for _ in range(20_000)] + [("even", 10) for _ in range(20_000)]
+    records = spark.createDataFrame([(i, s, n) for i, (s, n) in enumerate(sizes)], "doc_id long, source string, tokens long")
+    targets = spark.createDataFrame([("heavy", 0.5, 1), ("even", 0.5, 1)], "source string, target_share double, max_repeats int")
+    mix, shares = mixing.draw(records, targets, total_tokens=300_000)
+    got = {r["source"]: r for r in shares.collect()}
+    assert abs(got["heavy"]["reached_share"] - 0.5) < 0.01 and got["heavy"]["records"] > 500
+    assert abs(got["heavy"]["tokens"] + got["even"]["tokens"] - 300_000) < 3000
+
+
+def test_scale_fills_the_expected_tokens():
+    rng = random.Random(9)
+    sizes = [int(5 * rng.paretovariate(1.0)) + 1 for _ in range(5000)]
+    classes = {}
+    for n in sizes:
+        c = classes.setdefault(int(np.floor(np.log2(n) * mixing.CLASSES)), [0, 0, 0.0])
+        classes[int(np.floor(np.log2(n) * mixing.CLASSES))] = [max(c[0], n), c[1] + n, c[2] + n**1.5]
+    for part in (0.05, 0.4, 0.9):
+        rest = part * sum(sizes)
+        c = mixing.scale([tuple(v) for v in classes.values()], rest)
+        assert sum(n for n in sizes if c * n**0.5 >= 1) <= rest
+        assert sum(min(1.0, c * n**0.5) * n for n in sizes) < 1.03 * rest
+
+
 def test_compression_distance():
     plain = [f"Du måste skicka blankett {i} till kontoret före den {i}." for i in range(40)] + [f"Kontoret i Mossvik öppnar klockan {i} varje vardag." for i in range(40)]
     nasty = [f"Håll käften din äckliga {w}, ingen vill se dig här." for w in ("mes", "idiot", "fårskalle", "skurk", "typ", "drummel", "slyngel", "tok")] * 3

@@ -6,8 +6,8 @@ so that neither loses a case. A local alignment of the item's words with the win
 words in their order within one passage. If the best passage has less, what lies before and behind it is aligned as well. The
 passage's place is reported, so that spans or whole documents can be taken out.
 
-The index is broadcast because test items are a fixed set (240 here); above ``MOST_ITEMS`` the job stops with an error
-rather than broadcast without bound; such a set is searched in several runs.
+The index is broadcast in blocks of ``MOST_ITEMS`` items and ``MOST_CHARACTERS`` of their text, whatever the size of the set: a larger
+set takes one pass over the documents for each block.
 
 Defined results: null and empty texts leak nothing; of repeated items each
 leaks; equal documents under other ids each give their rows; empty tables give empty results; further columns are ignored.
@@ -20,6 +20,7 @@ import pickle
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,8 @@ from ..runtime import spread, table
 
 #: Share of an item's words that the alignment must match.
 LEAST_SHARE = 0.5
-MOST_ITEMS = 20_000
+#: Items, and characters of their texts, in one broadcast index.
+MOST_ITEMS, MOST_CHARACTERS = 20_000, 20_000_000
 MATCH, MISMATCH, GAP = 10, -7, -5
 #: Words of a passage for each word of the item at most: with more, gaps cost more than all matches give.
 STRETCH = 1 + MATCH // -GAP
@@ -173,16 +175,19 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     m = len(text)
     if not m or not len(item):
         return 0, 0, 0
-    unit, start_bits = 1 << 34, 1 << 17
-    starts = np.arange(m, dtype=np.int64)
-    steps = np.arange(m + 1, dtype=np.int64) * (-GAP * unit)
-    row = np.zeros(m + 1, np.int64)
+    # matches and starts share 34 bits; integers of any size where a text is too long for that
+    wide = max(m, len(item)).bit_length()
+    kind = np.int64 if wide <= 17 else object
+    unit, start_bits = (1 << 34, 1 << 17) if wide <= 17 else (1 << 2 * wide, 1 << wide)
+    starts = np.arange(m).astype(kind)
+    steps = np.arange(m + 1).astype(kind) * (-GAP * unit)
+    row = np.zeros(m + 1, kind)
     top, end = 0, 0
     for x in item:
         hit = text == x
         fresh = row[:-1] < unit
         base = np.where(fresh, starts, row[:-1])
-        new = np.empty(m + 1, np.int64)
+        new = np.empty(m + 1, kind)
         new[0] = 0
         new[1:] = np.where(hit, base + MATCH * unit + start_bits, row[:-1] + MISMATCH * unit)
         np.maximum(new[1:], row[1:] + GAP * unit, out=new[1:])
@@ -196,11 +201,18 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, text) and (item_id, text) -> (doc_id, item_id, share, first_word, last_word); one Arrow pass over the documents."""
-    rows = items.select("item_id", "text").limit(MOST_ITEMS + 1).collect()
-    if len(rows) > MOST_ITEMS:
-        raise ValueError(f"more than {MOST_ITEMS} test items: search them in several runs")
-    shared = documents.sparkSession.sparkContext.broadcast(pickle.dumps(ItemIndex([(r["item_id"], r["text"]) for r in rows])))
+    """(doc_id, text) and (item_id, text) -> (doc_id, item_id, share, first_word, last_word); one Arrow pass over the documents for each block of items."""
+    known = items.where("text is not null").select("item_id", "text").dropDuplicates()
+    n, size = known.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).collect()[0]
+    blocks = max(1, -(-2 * n // MOST_ITEMS), -(-2 * size // MOST_CHARACTERS)) if n > MOST_ITEMS or size > MOST_CHARACTERS else 1
+    of = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    found = [_searched(documents, [(r["item_id"], r["text"]) for r in known.where(of == b).collect()]) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _searched(documents: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
+    """The leaks of one block of items."""
+    shared = documents.sparkSession.sparkContext.broadcast(pickle.dumps(ItemIndex(items)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = pickle.loads(shared.value)
@@ -218,6 +230,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id").dropDuplicates()
 
 
+def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus without the documents that hold a test item: (doc_id, text) of every other document."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return documents.join(leaks(spread(documents), table(spark, sf_dir, "test_items")).select("doc_id").distinct(), "doc_id", "left_anti")
+
+
 def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which test items leaked, into how many documents, and how fully at most."""
     items = table(spark, sf_dir, "test_items")

@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_redacted": pii.p4_redacted,
         "p6_found": leakage.p6_found,
         "p6_items": leakage.p6_items,
+        "p6_clean": leakage.p6_clean,
         "p7_mix": mixing.p7_mix,
         "p7_shares": mixing.p7_shares,
         "p8_found": toxicity.p8_found,
