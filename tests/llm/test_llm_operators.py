@@ -134,6 +134,15 @@ def test_personal_information(finder):
     assert finder.items([None, "", "[EMAIL] [PHONE]"]) == [[], [], []]
 
 
+def test_trees_decide_between_candidates(spark):
+    """Without trees and thresholds (every candidate kept, the first of overlapping ones) the same generators redact what is none."""
+    full = pii.fit(spark, "/root/testdata/sf0.01")
+    bare = pii.Finder(full.names, pii.Trees(""), dict.fromkeys(pii.TYPES, 0.0))
+    texts = ["Tåg 1234-5678 var sent.", "På fakturan står OCR 7002 1234 567897.", "Ring mig på 070-174 06 05."]
+    assert [[k for _, _, k in x] for x in full.items(texts)] == [[], [], ["phone"]]
+    assert all(bare.items(texts)[:2])
+
+
 def test_labels_from_the_services_placeholders():
     text = "Hej, ring 555 01 06 eller a.b@c.test. Ring 555 01 07."
     spans = pii.placed(text, "Hej, ring [PHONE] eller [EMAIL]. Ring 555 01 07.")
@@ -171,10 +180,23 @@ def test_page_content(spark):
     pages = [(f"p{i}", f"https://v{i % 3}.example/{i}", menu.format(i, "ab" * (i + 1)), None) for i in range(40)] + [(f"m{i}", "", "# M\n\n" + "cd" * (i + 1) + " är sidans egen text. Den är lång nog och har punkter.", None) for i in range(16)]
     df = spark.createDataFrame(pages, "doc_id string, url string, text string, agency string")
     ratios = boilerplate.fit(df)
-    lines = ratios.furniture(menu.format(7, "ab" * 8), "https://v1.example/7")
+    lines = ratios.furniture(menu.format(7, "ab" * 8))
     assert lines == [0, 1, 2, 8, 10, 11]
 
 
+def test_length_and_punctuation_decide(spark):
+    """Without plain documents the two ratios alone part menus from text, and with them they keep text of a path that plain documents lack."""
+    page = "Start\nOm oss\nPress\n\n# T\n\n{} är sidans egen text. Den är lång nog och har punkter.\n\nSkriv ut sidan\n\nTill toppen\nFölj oss"
+    pages = [(f"p{i}", "https://v.example/1", page.format("ab" * (i + 1))) for i in range(40)]
+    alone = boilerplate.fit(spark.createDataFrame(pages, "doc_id string, url string, text string"))
+    assert alone.furniture(page.format("abc")) == [0, 1, 2, 8, 10, 11]
+    plain = [(f"m{i}", "", "# M\n\n- En kort rad\n\n- En rad till") for i in range(20)]
+    counts = boilerplate.path_counts(spark.createDataFrame(pages + plain, "doc_id string, url string, text string")).collect()
+    frequency = boilerplate.PathRatios([tuple(r) for r in counts], weights=(0.0, 0.0, 1.0))
+    fused = boilerplate.PathRatios([tuple(r) for r in counts])
+    assert 6 in frequency.furniture(page.format("ab" * 30)) and fused.value(boilerplate.line_paths(page.format("ab" * 30))[4][1]) > frequency.value(boilerplate.line_paths(page.format("ab" * 30))[4][1])
+
+
 def test_alignment_equals_plain_smith_waterman():
     rng = random.Random(4)
     for _ in range(80):
