@@ -44,7 +44,7 @@ def plain(spark, chunks, questions, k=5):
         hits.setdefault(r["qid"], []).append((r["rank"], r["chunk_id"]))
     by_id, out = {c[0]: c for c in chunks}, {}
     gloss = {}
-    for token, alt in tx.glossary_rows():
+    for token, alt in ((r["token"], r["gloss"]) for r in tx.glossary(spark).collect()):
         gloss.setdefault(token, []).append(alt)
     for qid, q in questions:
         qmap = {}

@@ -54,7 +54,7 @@ def deadline(start: Column, amount: Column, unit: Column) -> Column:
     return (
         F.when(u.isin("day", "dag", "dagar"), F.date_add(start, amount.cast("int")))
         .when(u.isin("week", "vecka", "veckor"), F.date_add(start, (amount * 7).cast("int")))
-        .when(u.isin("month", "månad", "månader"), F.add_months(start, amount.cast("int")))
+        .when(u.isin("month", "månad", "månader", "manad"), F.add_months(start, amount.cast("int")))
         .when(unit.isNull(), F.lit(None).cast("date"))
         .otherwise(F.raise_error(F.concat(F.lit("unknown unit: "), unit)).cast("date"))
     )
@@ -63,3 +63,39 @@ def deadline(start: Column, amount: Column, unit: Column) -> Column:
 def long_date(day: Column) -> Column:
     """A date as in "Tuesday 17 March 2026"."""
     return F.date_format(day, "EEEE d MMMM yyyy")
+
+
+# English months, their short forms, and Swedish months, by their number.
+MONTHS = {
+    "january": 1, "february": 2, "march": 3, "april": 4, "may": 5, "june": 6, "july": 7, "august": 8, "september": 9, "october": 10, "november": 11, "december": 12,
+    "jan": 1, "feb": 2, "mar": 3, "apr": 4, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "oct": 10, "nov": 11, "dec": 12,
+    "januari": 1, "februari": 2, "mars": 3, "maj": 5, "juni": 6, "juli": 7, "augusti": 8, "oktober": 10,
+}
+#: Month names, the longer first, as a pattern.
+MONTH = "|".join(sorted(MONTHS, key=lambda m: (-len(m), m)))
+#: A date such as 2026-03-17, 17 March 2026, 17th of March, 2026 or March 17, 2026.
+DATE = rf"\b\d{{4}}-\d{{1,2}}-\d{{1,2}}\b|\b\d{{1,2}}(?:st|nd|rd|th|e|:e)?\s+(?:of\s+)?(?:{MONTH})\.?,?\s+\d{{4}}\b|\b(?:{MONTH})\.?\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+\d{{4}}\b"
+
+
+def month_number(name: Column) -> Column:
+    """The number of a month's name; null for another word."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in MONTHS.items() for x in pair)), F.lower(name))
+
+
+def day_of(year: Column, month: Column, day: Column) -> Column:
+    """A date, or null where there is no such day."""
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    return F.concat_ws("-", year.cast("string"), two(month), two(day)).try_cast("date")
+
+
+def found_dates(text: Column) -> Column:
+    """The distinct dates of a text in reading order; days that do not exist are none, null gives null."""
+
+    def parsed(m: Column) -> Column:
+        low = F.lower(m)
+        iso = day_of(F.regexp_extract(low, r"^(\d{4})-", 1), F.regexp_extract(low, r"-(\d{1,2})-", 1), F.regexp_extract(low, r"-(\d{1,2})$", 1))
+        said = day_of(F.regexp_extract(low, r"(\d{4})$", 1), month_number(F.regexp_extract(low, rf"(?:^|[^a-z])({MONTH})(?:[^a-z]|$)", 1)), F.regexp_extract(low, r"(?:^|\D)(\d{1,2})(?:st|nd|rd|th|e|:e)?(?:\D|$)", 1))
+        return F.when(low.rlike(r"^\d{4}-"), iso).otherwise(said)
+
+    found = F.transform(F.regexp_extract_all(text, F.lit(f"(?i){DATE}"), F.lit(0)), parsed)
+    return F.array_distinct(F.filter(found, lambda d: d.isNotNull()))

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import guard
 from ..functions import text as tx
 from ..runtime import cut
-from . import retrieve
+from . import plan, retrieve, verify
 
 ABSTAIN_BELOW = 0.34
 HITS, SENTENCES, RELATIVE = 4, 3, 0.6
@@ -24,7 +25,7 @@ def question_terms(questions: DataFrame, known: DataFrame) -> DataFrame:
     stop = F.array(*(F.lit(w) for w in tx.STOP))
     kept = F.filter(tx.tokens(F.col("question")), lambda t: ~F.array_contains(stop, t) & ((F.char_length(t) > 1) | t.rlike(r"^\p{Nd}+$")))
     words = questions.select("qid", F.posexplode(kept).alias("pos", "token")).withColumn("term", tx.stem(F.col("token")))
-    gloss = questions.sparkSession.createDataFrame(tx.glossary_rows(), "token string, alt string")  # fixed, some sixty rows
+    gloss = tx.glossary(questions.sparkSession).withColumnRenamed("gloss", "alt")
     own = words.select("qid", "pos", "term", F.col("term").alias("alt"))
     every = own.unionByName(words.join(F.broadcast(gloss), "token").select("qid", "pos", "term", "alt"))
     every = every.groupBy("qid", "term", "alt").agg(F.min("pos").alias("pos"))
@@ -54,7 +55,7 @@ def scored_sentences(questions: DataFrame, hits: DataFrame, chunks: DataFrame, t
     section but not the title, is multiplied by the weight of the last term, in the question's order, that the sentence has.
     """
     alts = retrieve.query_terms(questions).select(F.col("alt").alias("term")).dropDuplicates()
-    known = retrieve.idf(retrieve.postings(terms).join(alts, "term", "left_semi"), retrieve.corpus_size(terms))
+    known = retrieve.idf(retrieve.terms_once(terms).join(alts, "term", "left_semi"), retrieve.corpus_size(terms))
     own = chunks.dropDuplicates(["chunk_id"]).select("chunk_id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("title", "section", "text")))
     rows = hits.where(F.col("rank") <= HITS).select("qid", "rank", "chunk_id").join(own, "chunk_id").join(question_terms(questions, known), "qid")
     rows = rows.withColumn("title_terms", tx.content_terms(F.col("title"))).withColumn("section_terms", tx.content_terms(F.col("section")))
@@ -69,13 +70,14 @@ def scored_sentences(questions: DataFrame, hits: DataFrame, chunks: DataFrame, t
     return rows.select("qid", "rank", "pos", "chunk_id", "sentence", ((F.col("overlap") + 0.6 * F.col("bonus")) * F.element_at("hit", -1)["w"]).alias("score"))
 
 
-def extract(questions: DataFrame, chunks: DataFrame, k: int = 5, abstain_below: float = ABSTAIN_BELOW) -> DataFrame:
+def extract(questions: DataFrame, chunks: DataFrame, k: int = 5, abstain_below: float = ABSTAIN_BELOW, terms: DataFrame | None = None, hits: DataFrame | None = None) -> DataFrame:
     """(qid, question) -> (qid, answer, abstained, confidence, sources): one row per question, whatever was found.
 
     Up to three sentences within 0.6 of the best, in the order of their chunks; a question below the confidence is not answered.
+    ``terms`` is the index and ``hits`` are the ranked chunks, where these are at hand.
     """
-    terms = retrieve.indexed(chunks)
-    hits = cut(retrieve.search(questions, terms, k))
+    terms = retrieve.indexed(chunks) if terms is None else terms
+    hits = cut(retrieve.search(questions, terms, k)) if hits is None else hits
     sure = retrieve.confidence(retrieve.coverage(questions, hits, terms))
     found = scored_sentences(questions, hits, chunks, terms)
     order = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "rank", "pos")
@@ -91,3 +93,37 @@ def extract(questions: DataFrame, chunks: DataFrame, k: int = 5, abstain_below:
     text = F.array_join(F.transform("parts", lambda p: p["text"]), " ")
     sources = F.array_distinct(F.transform("parts", lambda p: F.struct(p["n"].alias("n"), p["chunk_id"].alias("chunk_id"))))
     return every.select("qid", F.when(silent, refusal).otherwise(text).alias("answer"), silent.alias("abstained"), F.round(F.coalesce("confidence", F.lit(0.0)), 3).alias("confidence"), F.when(~silent, sources).alias("sources"))
+
+
+def ask(questions: DataFrame, chunks: DataFrame, calendar: DataFrame, k: int = 5, abstain_below: float = ABSTAIN_BELOW, strict: bool = True, min_faithfulness: float = 0.5) -> DataFrame:
+    """(qid, question) -> one trace per question, as the service gives it without a language model.
+
+    Personal data are redacted; of k + 3 hits those with injected instructions are blocked; a deadline is planned, else sentences are
+    extracted; the answer is verified against its sources; in strict mode an answer below ``min_faithfulness`` is withdrawn.
+    Columns: qid, question, answer, abstained, confidence, sources, label, faithfulness, deadline, pii_redacted, blocked_chunks.
+    """
+    safe = cut(questions.select("qid", guard.redact(F.col("question")).alias("r")).select("qid", F.col("r.text").alias("question"), F.col("r.found").alias("pii_redacted")))
+    terms = retrieve.indexed(chunks)
+    wide = cut(retrieve.search(safe.select("qid", "question"), terms, k + 3))
+    seen = chunks.join(wide.select("chunk_id").distinct(), "chunk_id", "left_semi").dropDuplicates(["chunk_id"])
+    marked = cut(wide.join(seen.select("chunk_id", (verify.injection_findings(F.coalesce("text", F.lit(""))) > 0).alias("bad")), "chunk_id"))
+    blocked = marked.where("bad").groupBy("qid").agg(F.array_sort(F.collect_list("chunk_id")).alias("blocked_chunks"))
+    clean = marked.where("not bad").withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).where(F.col("rank") <= k).select("qid", "rank", "chunk_id", "score")
+    clean = cut(clean)
+    drafts = extract(safe.select("qid", "question"), chunks, k, abstain_below, terms, clean)
+    plans = plan.said(plan.planned(safe, clean, chunks), calendar, cited(F.col("sentence"), F.lit(1)))
+    both = drafts.join(plans.withColumnRenamed("text", "plan"), "qid", "left")
+    sure = F.col("plan").isNotNull() & (F.col("confidence") >= abstain_below)
+    one = F.array(F.struct(F.lit(1).alias("n"), F.col("chunk_id")))
+    both = cut(both.select("qid", F.when(sure, F.col("plan")).otherwise(F.col("answer")).alias("answer"), (F.col("abstained") & ~sure).alias("abstained"), "confidence", F.when(sure, one).otherwise(F.col("sources")).alias("sources"), F.when(sure, F.col("tool_calls")).alias("tool_calls"), F.when(sure, F.col("deadline")).alias("deadline")))
+    used = both.select("qid", F.explode("sources").alias("s")).select("qid", F.col("s.n").alias("n"), F.col("s.chunk_id").alias("chunk_id"))
+    texts = used.join(seen.select("chunk_id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("title", "section", "text"))), "chunk_id")
+    per = texts.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("n", "title", "section", "text"))).alias("evidence"))
+    stated = both.join(per, "qid", "left").select(F.col("qid").alias("trace_id"), "answer", F.col("evidence").alias("sources"), "tool_calls")
+    checked = verify.verification(verify.claims(stated)).withColumnRenamed("trace_id", "qid").select("qid", "label", "faithfulness")
+    every = safe.join(both, "qid").join(checked, "qid", "left").join(blocked, "qid", "left")
+    fails = ~F.col("abstained") & F.lit(strict) & ~F.col("label").isin("verified", "no-claims") & (F.col("faithfulness") < min_faithfulness)
+    refusal = F.when(F.col("question").rlike(SWEDISH) & ~F.col("question").rlike(ENGLISH), ABSTAIN_SV).otherwise(ABSTAIN_EN)
+    text = F.when(fails, F.concat(refusal, F.lit(" (The draft answer could not be verified against the sources.)"))).otherwise(F.col("answer"))
+    silent = F.col("abstained") | fails
+    return every.select("qid", "question", text.alias("answer"), silent.alias("abstained"), "confidence", F.when(~silent, F.col("sources")).alias("sources"), "label", "faithfulness", F.when(~silent, F.col("deadline")).alias("deadline"), "pii_redacted", F.coalesce("blocked_chunks", F.array().cast("array<string>")).alias("blocked_chunks"))

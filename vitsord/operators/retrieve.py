@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
@@ -18,6 +23,10 @@ K1, B = 1.4, 0.75
 RRF_K = 60
 #: Most query vectors held by every task of a dense search; more are searched in several passes.
 QUERY_BLOCK = 4096
+#: Rows scored at once against a block of questions.
+ROWS = 1000
+#: Buckets of hashed term vectors.
+DIMENSIONS = 256
 
 
 def chunk_terms(chunks: DataFrame) -> DataFrame:
@@ -30,10 +39,13 @@ def chunk_terms(chunks: DataFrame) -> DataFrame:
 
 
 def postings(terms: DataFrame) -> DataFrame:
-    """(chunk_id, terms, dl) -> (term, chunk_id, tf, dl). A chunk's terms are counted inside its row, without a shuffle."""
-    distinct = F.array_distinct("terms")
-    counted = F.transform(distinct, lambda t: F.struct(t.alias("term"), F.size(F.filter("terms", lambda x: x == t)).alias("tf")))
-    return terms.select("chunk_id", "dl", F.explode(counted).alias("p")).select("p.term", "chunk_id", "p.tf", "dl")
+    """(chunk_id, terms, dl) -> (term, chunk_id, tf, dl), counted by Spark."""
+    return terms.select("chunk_id", "dl", F.explode("terms").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+
+
+def terms_once(terms: DataFrame) -> DataFrame:
+    """(chunk_id, terms) -> (term, chunk_id) with each term of a chunk once, without a shuffle."""
+    return terms.select(F.explode(F.array_distinct("terms")).alias("term"), "chunk_id")
 
 
 def corpus_size(terms: DataFrame) -> DataFrame:
@@ -49,8 +61,7 @@ def idf(found: DataFrame, size: DataFrame) -> DataFrame:
 
 def query_terms(questions: DataFrame) -> DataFrame:
     """(qid, question) -> (qid, term, alt): each content term of a question with itself and its glossary terms."""
-    spark = questions.sparkSession
-    gloss = spark.createDataFrame(tx.glossary_rows(), "token string, gloss string")  # fixed, some sixty rows
+    gloss = tx.glossary(questions.sparkSession)
     stop = F.array(*(F.lit(w) for w in tx.STOP))
     kept = F.filter(tx.tokens(F.col("question")), lambda t: ~F.array_contains(stop, t) & ((F.char_length(t) > 1) | t.rlike(r"^\p{Nd}+$")))
     words = questions.select("qid", F.explode(F.array_distinct(kept)).alias("token")).withColumn("term", tx.stem(F.col("token")))
@@ -67,20 +78,80 @@ def indexed(chunks: DataFrame) -> DataFrame:
 def search(questions: DataFrame, terms: DataFrame, k: int = 5) -> DataFrame:
     """(qid, question) x ``indexed`` chunks -> (qid, rank, chunk_id, score): the k best chunks of every question by BM25.
 
-    Only postings of words that some question has leave their chunk's row; ties of the score go to the lower chunk_id.
-    Contributions are added in the order of the terms, so that equal sets of terms give equal scores.
+    Questions are taken in blocks of ``QUERY_BLOCK``. A pass over the chunks scores each batch of rows against the words of a block
+    and keeps the k best of each question per task, so that what is shuffled is k rows per question and task, never a row per
+    question and chunk; the result is exact. Ties of the score go to the lower chunk_id. Contributions are added in the order of
+    the terms, so that equal sets of terms give equal scores.
     """
+    spark = questions.sparkSession
     wanted = query_terms(questions).select("qid", F.col("alt").alias("term")).dropDuplicates()
-    # Spark broadcasts the query words where they are small, and shuffles both sides by word where they are not
-    found = postings(terms).join(wanted.select("term").dropDuplicates(), "term", "left_semi")
+    n = questions.select("qid").distinct().count()
+    blocks = max(1, math.ceil(n / QUERY_BLOCK))
+    of = F.pmod(F.xxhash64("qid"), F.lit(blocks))
     size = corpus_size(terms)
-    weighted = found.join(idf(found, size), "term").join(F.broadcast(size))
-    gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = weighted.select("term", "chunk_id", gain.alias("gain")).join(wanted, "term")
-    ordered = F.array_sort(F.collect_list(F.struct("term", "gain")))
-    scored = hits.groupBy("qid", "chunk_id").agg(F.aggregate(ordered, F.lit(0.0), lambda a, x: a + x["gain"]).alias("score"))
+    avgdl = float(size.collect()[0]["avgdl"])
+    found = []
+    for block in range(blocks):
+        words = cut(wanted.where(of == block)) if blocks > 1 else wanted
+        # at most QUERY_BLOCK questions and their words
+        asked = words.select("qid", "term").collect()
+        used = spark.createDataFrame(sorted({(r["term"],) for r in asked}), "term string")
+        weights = {r["term"]: r["idf"] for r in idf(terms_once(terms).join(F.broadcast(used), "term", "left_semi"), size).collect()}
+        found.append(_best_chunks(terms, [(r["qid"], r["term"]) for r in asked], weights, avgdl, k, questions.schema["qid"].dataType))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "chunk_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "rank", "chunk_id", "score")
+    return reduce(DataFrame.unionByName, found).withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "rank", "chunk_id", "score")
+
+
+def _best_chunks(terms: DataFrame, asked: list[tuple[object, str]], weights: dict[str, float], avgdl: float, k: int, kind: DataType) -> DataFrame:
+    """The k best chunks (qid, chunk_id, score) of each question in each task; ``asked`` are the words of a block of questions."""
+    vocabulary = sorted(t for t in weights)
+    place = {t: i for i, t in enumerate(vocabulary)}
+    qids = sorted({q for q, _ in asked})
+    row = {q: i for i, q in enumerate(qids)}
+    askers: list[list[int]] = [[] for _ in vocabulary]
+    for q, t in asked:
+        if t in place:
+            askers[place[t]].append(row[q])
+    shared = terms.sparkSession.sparkContext.broadcast((qids, vocabulary, [np.array(sorted(x), np.int64) for x in askers], [weights[t] for t in vocabulary]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, vocabulary, askers, idfs = shared.value
+        known = pa.array(vocabulary, pa.string())
+        best_score = np.full((len(qids), k), -np.inf)
+        best_chunk = np.full((len(qids), k), "", object)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                part = whole.slice(at, ROWS)
+                if not len(vocabulary) or not part.num_rows:
+                    continue
+                lists = part.column(1)
+                code = pc.index_in(lists.flatten(), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
+                chunk = np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+                there = code >= 0
+                key, tf = np.unique(code[there].astype(np.int64) * part.num_rows + chunk[there], return_counts=True)
+                term, chunk = np.divmod(key, part.num_rows)
+                dl = part.column(2).to_numpy(zero_copy_only=False)[chunk]
+                gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+                scores = np.zeros((len(qids), part.num_rows))
+                starts = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.empty(0, np.int64)
+                for a, z in zip(starts, [*starts[1:], len(term)]):  # in the order of the terms
+                    t = int(term[a])
+                    scores[np.ix_(askers[t], chunk[a:z])] += idfs[t] * gain[a:z]
+                ids = part.column(0).to_numpy(zero_copy_only=False)
+                near = min(4 * k, part.num_rows)
+                for q in np.flatnonzero(scores.max(axis=1, initial=0) > 0).tolist():
+                    s = np.round(scores[q], 9)
+                    least = np.partition(s, len(s) - near)[len(s) - near] if near < len(s) else 0.0
+                    hit = np.flatnonzero((s >= least) & (s > 0))  # all ties of the last place among them
+                    every = [(-a, c, b) for a, c, b in zip(s[hit], ids[hit], scores[q][hit])]
+                    every += [(-round(b, 9), c, b) for b, c in zip(best_score[q], best_chunk[q]) if b > -np.inf]
+                    for i, (_, c, b) in enumerate(sorted(every)[:k]):
+                        best_score[q, i], best_chunk[q, i] = b, c
+        at, place = np.nonzero(best_score > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i in at], qid_type), pa.array(best_chunk[at, place], pa.string()), pa.array(best_score[at, place], pa.float64())], names=["qid", "chunk_id", "score"])
+
+    qid_type = to_arrow_type(kind)
+    return terms.select("chunk_id", "terms", "dl").mapInArrow(run, f"qid {kind.simpleString()}, chunk_id string, score double")
 
 
 def coverage(questions: DataFrame, hits: DataFrame, terms: DataFrame) -> DataFrame:
@@ -89,7 +160,7 @@ def coverage(questions: DataFrame, hits: DataFrame, terms: DataFrame) -> DataFra
     A term weighs the least idf of its known alternatives, or the greatest possible one if none is known.
     """
     wanted = query_terms(questions)
-    found = postings(terms).join(wanted.select(F.col("alt").alias("term")).dropDuplicates(), "term", "left_semi")
+    found = terms_once(terms).join(wanted.select(F.col("alt").alias("term")).dropDuplicates(), "term", "left_semi")
     size = corpus_size(terms)
     known = idf(found, size)
     top = size.select(F.log(1 + (F.greatest("n", F.lit(1)) + 0.5) / 0.5).alias("top"))
@@ -126,6 +197,7 @@ def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFra
     spark = queries.sparkSession
     count = queries.where("embedding is not null").count()
     ids = queries.where("embedding is not null").withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(max(1, math.ceil(count / QUERY_BLOCK)))))
+    kinds = (queries.schema["qid"].dataType, vectors.schema["vec_id"].dataType)
     found = None
     for block in range(max(1, math.ceil(count / QUERY_BLOCK))):
         rows = ids.where(F.col("block") == block).select("qid", "embedding").collect()
@@ -136,28 +208,74 @@ def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFra
             for batch in batches:
                 if not batch.num_rows or not len(qids):
                     continue
-                v = np.array(batch.column(1).to_pylist(), np.float64)
-                scores = q @ v.T
-                keys = batch.column(0).to_numpy(zero_copy_only=False)
-                order = np.lexsort((np.broadcast_to(keys, scores.shape), -np.round(scores, 9)))[:, :k]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(qids, order.shape[1]), pa.int64()), pa.array(keys[order].ravel(), pa.int64()), pa.array(np.take_along_axis(scores, order, 1).ravel(), pa.float64())],
-                    names=["qid", "vec_id", "score"],
-                )
-
-        part = vectors.where("embedding is not null").select("vec_id", "embedding").mapInArrow(best, "qid long, vec_id long, score double")
+                for at in range(0, batch.num_rows, ROWS):
+                    part = batch.slice(at, ROWS)
+                    v = np.array(part.column(1).to_pylist(), np.float64)
+                    scores = q @ v.T
+                    keys = part.column(0).to_numpy(zero_copy_only=False)
+                    order = np.lexsort((np.broadcast_to(keys, scores.shape), -np.round(scores, 9)))[:, :k]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat(qids, order.shape[1]), to_arrow_type(kinds[0])), pa.array(keys[order].ravel(), to_arrow_type(kinds[1])), pa.array(np.take_along_axis(scores, order, 1).ravel(), pa.float64())],
+                        names=["qid", "vec_id", "score"],
+                    )
+
+        part = vectors.where("embedding is not null").select("vec_id", "embedding").mapInArrow(best, f"qid {kinds[0].simpleString()}, vec_id {kinds[1].simpleString()}, score double")
         found = part if found is None else found.unionByName(part)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "rank", "vec_id", "score")
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """Postings written by ``write_index``."""
-    return spark.read.parquet(f"{path}/postings")
+def hashed_vectors(terms: DataFrame) -> DataFrame:
+    """(chunk_id, terms) -> (chunk_id, embedding): hashed term counts of length 1, for where no encoder is at hand.
+
+    Bucket of a term: the first two hexadecimal digits of its MD5. A chunk without terms has a vector of zeros.
+    """
+    buckets = F.transform("terms", lambda t: F.conv(F.substring(F.md5(t), 1, 2), 16, 10).cast("int"))
+    zeros = F.array_repeat(F.lit(0.0), DIMENSIONS)
+    counts = terms.select("chunk_id", F.explode_outer(buckets).alias("b")).groupBy("chunk_id", "b").agg(F.count("b").cast("double").alias("c"))
+    each = counts.groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("b").isNotNull(), F.struct("b", "c")))).alias("m"), F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
+    return each.select("chunk_id", F.transform(zeros, lambda z, i: F.when(F.col("norm") > 0, F.coalesce(F.try_element_at("m", i), z) / F.col("norm")).otherwise(z)).alias("embedding"))
+
+
+def question_vectors(questions: DataFrame) -> DataFrame:
+    """(qid, question) -> (qid, embedding): the same vectors of the questions' words and glossary terms."""
+    words = query_terms(questions).groupBy("qid").agg(F.collect_set("alt").alias("terms"))
+    return hashed_vectors(words.withColumnRenamed("qid", "chunk_id")).withColumnRenamed("chunk_id", "qid")
+
+
+def hybrid(questions: DataFrame, terms: DataFrame, vectors: DataFrame, query_vectors: DataFrame, k: int = 5, depth: int = 20) -> DataFrame:
+    """Reciprocal rank fusion of the ``depth`` best chunks by BM25 and by inner product of (chunk_id, embedding) with (qid, embedding).
+
+    (qid, rank, chunk_id, score, dense): ``dense`` is the inner product where the chunk is among the nearest.
+    """
+    lexical = search(questions, terms, depth)
+    dense = dense_search(query_vectors, vectors.withColumnRenamed("chunk_id", "vec_id"), depth).where("score > 0").withColumnRenamed("vec_id", "chunk_id")
+    near = cut(dense)
+    fused = fuse([lexical, near], k)
+    return fused.join(near.select("qid", "chunk_id", F.col("score").alias("dense")), ["qid", "chunk_id"], "left").select("qid", "rank", "chunk_id", "score", "dense")
+
+
+def dense_confidence(covered: DataFrame, low: float = 0.78, high: float = 0.90) -> DataFrame:
+    """(qid, rank, coverage, dense) -> (qid, confidence): coverage of the three first hits, or their similarity between ``low`` and ``high`` if higher."""
+    near = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("dense") - low) / (high - low)))
+    return covered.where("rank <= 3").groupBy("qid").agg(F.greatest(F.max("coverage"), F.coalesce(F.max(near), F.lit(0.0))).alias("confidence"))
 
 
 def write_index(chunks: DataFrame, path: str) -> None:
-    """Postings and corpus size as Parquet, the postings clustered by term so that a term's rows lie together."""
-    terms = chunk_terms(chunks)
-    postings(terms).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    corpus_size(terms).write.mode("overwrite").parquet(f"{path}/size")
+    """The index as Parquet: the chunks' terms, which every search reads."""
+    chunk_terms(chunks).write.mode("overwrite").parquet(f"{path}/terms")
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """The index written by ``write_index``, as ``search`` and ``coverage`` take it."""
+    return spark.read.parquet(f"{path}/terms")
+
+
+def load_or_build(chunks: DataFrame, path: str) -> DataFrame:
+    """The stored index, built first where there is none."""
+    spark = chunks.sparkSession
+    try:
+        return read_index(spark, path)
+    except AnalysisException:  # no such path
+        write_index(chunks, path)
+        return read_index(spark, path)

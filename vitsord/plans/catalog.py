@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import dates as dt
 from ..functions import guard
 from ..functions import text as tx
-from ..operators import answer, retrieve, verify
+from ..operators import answer, plan, retrieve, verify
 from ..runtime import cut, spread, table
 from ..sources import documents as src
 from ..streaming import events as stream
@@ -55,14 +55,14 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CHUNKS_SQL = "(SELECT chunk_id, any_value(doc_id) AS doc_id, any_value(title) AS title, any_value(section) AS section, any_value(text) AS text FROM chunks GROUP BY chunk_id)"
 _HEADER_SQL = "CASE WHEN coalesce(section, '') <> '' AND coalesce(section, '') <> coalesce(title, '') THEN coalesce(title, '') || ' > ' || section ELSE coalesce(title, '') END"
-_GLOSS_SQL = ", ".join(f"('{a}', '{b}')" for a, b in tx.glossary_rows())
+_GLOSS_SQL = ", ".join(f"('{a}', '{b}')" for a, b in tx.glossary_words())
 _STOP_SQL = "[" + ", ".join(f"'{w}'" for w in tx.STOP) + "]"
 _ASKED_SQL = "SELECT request_id AS qid, min(question) AS question FROM ask_requests WHERE request_id % 100 = 0 AND question IS NOT NULL GROUP BY request_id"
 _BM25_SQL = f"""
 WITH q AS ({_ASKED_SQL}),
 tok AS (SELECT DISTINCT qid, unnest({tx.sql_tokens('question')}) AS token FROM q),
 kept AS (SELECT qid, token, {tx.sql_stem('token')} AS term FROM tok WHERE NOT list_contains({_STOP_SQL}, token) AND (length(token) > 1 OR regexp_full_match(token, '\\p{{Nd}}+'))),
-gloss(token, gloss) AS (VALUES {_GLOSS_SQL}),
+gloss AS (SELECT token, {tx.sql_stem('word')} AS gloss FROM (VALUES {_GLOSS_SQL}) v(token, word)),
 qt AS (SELECT DISTINCT qid, term, term AS alt FROM kept UNION SELECT qid, term, gloss FROM kept JOIN gloss USING (token)),
 t AS (SELECT chunk_id, {tx.sql_content_terms(f"({_HEADER_SQL}) || chr(10) || coalesce(text, '')")} AS terms FROM {_CHUNKS_SQL}),
 size AS (SELECT count(*) AS n, avg(len(terms)) AS avgdl FROM t),
@@ -85,8 +85,7 @@ d AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT chunk_id, unnest(terms)
 def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document frequency and idf of every content term of the chunks."""
     terms = retrieve.indexed(spread(table(spark, sf_dir, "chunks")))
-    once = terms.select("chunk_id", F.explode(F.array_distinct("terms")).alias("term"))
-    return retrieve.idf(once, retrieve.corpus_size(terms)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return retrieve.idf(retrieve.terms_once(terms), retrieve.corpus_size(terms)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(_BM25_SQL + "SELECT qid, rank, chunk_id, round(score, 6) AS score FROM ranked WHERE rank <= 5")
@@ -118,16 +117,22 @@ def retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.agg(F.count("*").alias("answerable"), F.round(F.count("r") / n, 6).alias("recall_at_5"), F.round(F.coalesce(F.sum(1.0 / F.col("r")), F.lit(0.0)) / n, 6).alias("mrr"))
 
 
-@query(_BM25_SQL + """, b AS (SELECT qid, chunk_id, rank FROM ranked WHERE rank <= 20), s AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY length(coalesce(text, '')), chunk_id) AS rank FROM b JOIN """ + _CHUNKS_SQL + """ c USING (chunk_id)),
-f AS (SELECT qid, chunk_id, sum(1.0 / (60 + rank)) AS score FROM (SELECT * FROM b UNION ALL SELECT * FROM (SELECT qid, chunk_id, rank FROM s)) GROUP BY qid, chunk_id)
+_HASHED_SQL = "list_transform({}, lambda t: CAST('0x' || left(md5(t), 2) AS INT))"
+
+
+@query(_BM25_SQL + f""", cb AS (SELECT chunk_id, unnest({_HASHED_SQL.format('terms')}) AS b FROM t), cc AS (SELECT chunk_id, b, count(*)::DOUBLE AS c FROM cb GROUP BY ALL),
+cv AS (SELECT chunk_id, b, c / sqrt(sum(c * c) OVER (PARTITION BY chunk_id)) AS w FROM cc),
+qb AS (SELECT qid, unnest({_HASHED_SQL.format('list(DISTINCT alt)')}) AS b FROM qt GROUP BY qid), qc AS (SELECT qid, b, count(*)::DOUBLE AS c FROM qb GROUP BY ALL),
+qv AS (SELECT qid, b, c / sqrt(sum(c * c) OVER (PARTITION BY qid)) AS w FROM qc),
+ds AS (SELECT qid, chunk_id, sum(qv.w * cv.w) AS score FROM qv JOIN cv USING (b) GROUP BY ALL),
+dr AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM ds),
+f AS (SELECT qid, chunk_id, sum(1.0 / (60 + rank)) AS score FROM (SELECT qid, chunk_id, rank FROM ranked WHERE rank <= 20 UNION ALL SELECT qid, chunk_id, rank FROM dr WHERE rank <= 20) GROUP BY qid, chunk_id)
 SELECT * FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, chunk_id) AS rank, chunk_id, round(score, 9) AS score FROM f) WHERE rank <= 10""")
 def rrf_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reciprocal rank fusion of the BM25 ranking with one by brevity, over the twenty best chunks of each question."""
-    chunks = spread(table(spark, sf_dir, "chunks"))
-    by_score = cut(retrieve.search(_questions(spark, sf_dir), retrieve.indexed(chunks), 20))
-    sizes = chunks.dropDuplicates(["chunk_id"]).select("chunk_id", F.char_length(F.coalesce("text", F.lit(""))).alias("size"))
-    by_size = by_score.join(sizes, "chunk_id").withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("size", "chunk_id")))
-    return retrieve.fuse([by_score, by_size], 10).select("qid", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 9).alias("score"))
+    """Reciprocal rank fusion of the twenty best chunks of each question by BM25 with the twenty nearest by hashed term vectors."""
+    questions, terms = _questions(spark, sf_dir), retrieve.indexed(spread(table(spark, sf_dir, "chunks")))
+    found = retrieve.hybrid(questions, terms, retrieve.hashed_vectors(terms), retrieve.question_vectors(questions), 10)
+    return found.select("qid", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 9).alias("score"))
 
 
 @query("""SELECT * FROM (SELECT q.vec_id AS qid, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) DESC, v.vec_id) AS rank, v.vec_id,
@@ -191,6 +196,117 @@ def url_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "source_documents").where("url <> ''").select("url", tx.url_slug(F.col("url")).alias("slug")).dropDuplicates()
 
 
+_MONTH_SQL = "MAP {" + ", ".join(f"'{m}': {n}" for m, n in dt.MONTHS.items()) + "}"
+_DATES_SQL = f"""list_distinct_kept(list_filter(list_transform(regexp_extract_all({{0}}, '(?i){dt.DATE}'), lambda m: CASE WHEN regexp_matches(m, '^[0-9]{{{{4}}}}-')
+THEN TRY_CAST(regexp_extract(m, '^([0-9]{{{{4}}}})-', 1) || '-' || lpad(regexp_extract(m, '-([0-9]{{{{1,2}}}})-', 1), 2, '0') || '-' || lpad(regexp_extract(m, '-([0-9]{{{{1,2}}}})$', 1), 2, '0') AS DATE)
+ELSE TRY_CAST(regexp_extract(m, '([0-9]{{{{4}}}})$', 1) || '-' || lpad({_MONTH_SQL.replace('{', '{{').replace('}', '}}')}[regexp_extract(lower(m), '(?:^|[^a-z])({dt.MONTH})(?:[^a-z]|$)', 1)]::VARCHAR, 2, '0') || '-' || lpad(regexp_extract(lower(m), '(?:^|[^0-9])([0-9]{{{{1,2}}}})(?:st|nd|rd|th|e|:e)?(?:[^0-9]|$)', 1), 2, '0') AS DATE) END), lambda d: d IS NOT NULL))"""
+
+
+def _dates_sql(text: str) -> str:
+    """The dates of a text as a DuckDB list, repeats included."""
+    return _DATES_SQL.replace("list_distinct_kept(", "(").replace("{0}", text).replace(dt.DATE.replace("{", "{{").replace("}", "}}"), dt.DATE).replace("{{", "{").replace("}}", "}")
+
+
+@query(f"""SELECT DISTINCT trace_id, day FROM (SELECT trace_id, unnest({_dates_sql('answer')}) AS day FROM ask_results)""")
+def found_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every date that an answer states, in whatever notation."""
+    answers = table(spark, sf_dir, "ask_results").select("trace_id", "answer").dropDuplicates()
+    return answers.select("trace_id", F.explode(dt.found_dates(F.col("answer"))).alias("day")).dropDuplicates()
+
+
+_DATED_SQL = f"SELECT request_id AS qid, min(question) AS question FROM ask_requests WHERE regexp_matches(question, '(?i){plan.DEADLINE}') AND len({_dates_sql('question')}) > 0 GROUP BY request_id"
+_UNIT_SQL = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in {**plan.UNITS, "days": "days", "weeks": "weeks", "months": "months"}.items()) + "}"
+_WORD_SQL = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in plan.WORDS.items()) + "}"
+_SENTENCES_SQL = """list_filter(list_transform(regexp_split_to_array(regexp_replace({0}, '([.!?])[\\s\\x0b\\p{{Z}}\\x{{85}}\\x1c-\\x1f]+([A-ZÅÄÖ0-9"''(\\[])', '\\1' || chr(1) || '\\2', 'g'), chr(1) || '|\\n{{2,}}'),
+lambda x: trim(regexp_replace(x, '[\\s\\x0b\\p{{Z}}\\x{{85}}\\x1c-\\x1f]+', ' ', 'g'))), lambda x: x <> '')"""
+
+
+@query(_BM25_SQL.replace(_ASKED_SQL, _DATED_SQL) + f""", d AS (SELECT qid, ({_dates_sql('question')})[1] AS start_day FROM q),
+s AS (SELECT r.qid, r.rank, r.chunk_id, d.start_day, unnest({_SENTENCES_SQL.format('c.text')}) AS sentence, generate_subscripts({_SENTENCES_SQL.format('c.text')}, 1) AS pos FROM ranked r JOIN d USING (qid) JOIN {_CHUNKS_SQL} c USING (chunk_id) WHERE r.rank <= 3),
+m AS (SELECT *, lower(regexp_extract(sentence, '(?i){plan.DURATION}', 1)) AS n, lower(regexp_extract(sentence, '(?i){plan.DURATION}', 2)) AS u FROM s WHERE regexp_matches(sentence, '(?i){plan.DURATION}')),
+p1 AS (SELECT *, coalesce(TRY_CAST(n AS INT), {_WORD_SQL}[n]) AS amount, {_UNIT_SQL}[u] AS unit, row_number() OVER (PARTITION BY qid ORDER BY rank, pos) AS place FROM m)
+SELECT qid, chunk_id, start_day, amount, unit, CAST(CASE unit WHEN 'days' THEN start_day + amount WHEN 'weeks' THEN start_day + amount * 7 ELSE start_day + to_months(amount) END AS DATE) AS due FROM p1 WHERE place = 1""")
+def planned_deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every request that asks for a deadline and gives a date, the first rule of its three best chunks and the day it gives."""
+    asked = table(spark, sf_dir, "ask_requests").where(plan.asks_deadline(F.col("question")) & (F.size(dt.found_dates(F.col("question"))) > 0))
+    questions = cut(asked.groupBy(F.col("request_id").alias("qid")).agg(F.min("question").alias("question")))
+    chunks = spread(table(spark, sf_dir, "chunks"))
+    found = plan.planned(questions, retrieve.search(questions, retrieve.indexed(chunks), plan.HITS), chunks)
+    return found.where("amount is not null").select("qid", "chunk_id", "start_day", "amount", "unit", "due")
+
+
+def _service_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, answerable, must_include, expected_date, trace_id, answer, abstained) of the service's answers to evaluation questions."""
+    items = table(spark, sf_dir, "eval_dataset").groupBy("id").agg(F.min("question").alias("question"), F.max("answerable").alias("answerable"), F.min("must_include").alias("must_include"), F.min("expected_date").alias("expected_date"))
+    asked = table(spark, sf_dir, "ask_requests").where("question is not null").select("request_id", "question").dropDuplicates()
+    told = table(spark, sf_dir, "ask_results").where("abstained is not null").groupBy("trace_id").agg(F.min("request_id").alias("request_id"), F.min("answer").alias("answer"), F.max("abstained").alias("abstained"), F.min("verification.faithfulness").alias("faithfulness"))
+    return asked.join(items.where("question is not null"), "question").join(told, "request_id").drop("question")
+
+
+_SERVICE_SQL = """WITH i AS (SELECT id, min(question) AS question, max(answerable) AS answerable, min(must_include) AS must_include, min(expected_date) AS expected_date FROM eval_dataset GROUP BY id),
+a AS (SELECT DISTINCT request_id, question FROM ask_requests WHERE question IS NOT NULL),
+r AS (SELECT trace_id, min(request_id) AS request_id, min(answer) AS answer, max(abstained) AS abstained, min(verification.faithfulness) AS faithfulness FROM ask_results WHERE abstained IS NOT NULL GROUP BY trace_id),
+x AS (SELECT * FROM a JOIN i USING (question) JOIN r USING (request_id)) """
+
+
+@query(_SERVICE_SQL + """SELECT count(*) AS answers, round(coalesce(avg(CASE WHEN NOT abstained AND answer IS NOT NULL AND len(list_filter(must_include, lambda m: NOT contains(lower(answer), lower(m)))) = 0 THEN 1 ELSE 0 END), 0), 6) AS accuracy,
+round(coalesce(avg(CASE WHEN NOT abstained THEN faithfulness END), 0), 6) AS faithfulness, count(expected_date) AS dated, round(coalesce(avg(CASE WHEN expected_date IS NOT NULL THEN CASE WHEN contains(answer, expected_date) THEN 1 ELSE 0 END END), 0), 6) AS date_accuracy FROM x WHERE answerable""")
+def answer_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the service's answers to answerable evaluation questions: those with all required phrases, mean faithfulness, and those with the expected date."""
+    rows = _service_answers(spark, sf_dir).where("answerable")
+    has_all = F.coalesce(F.forall("must_include", lambda m: F.contains(F.lower("answer"), F.lower(m))), F.lit(False))
+    right = (~F.col("abstained") & has_all).cast("int")
+    dated = F.when(F.col("expected_date").isNotNull(), F.coalesce(F.contains("answer", F.col("expected_date")), F.lit(False)).cast("int"))
+    mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6)
+    return rows.agg(F.count("*").alias("answers"), mean(right).alias("accuracy"), mean(F.when(~F.col("abstained"), F.col("faithfulness"))).alias("faithfulness"), F.count("expected_date").alias("dated"), mean(dated).alias("date_accuracy"))
+
+
+@query(_SERVICE_SQL + """SELECT tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 1 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 1 END AS r
+FROM (SELECT count(*) FILTER (abstained AND NOT answerable) AS tp, count(*) FILTER (abstained AND answerable) AS fp, count(*) FILTER (NOT abstained AND NOT answerable) AS fn FROM x))""")
+def abstention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision, recall and F1 of the service's abstentions; the positive class are evaluation questions that cannot be answered."""
+    pairs = _service_answers(spark, sf_dir).where("answerable is not null").select(F.col("abstained").alias("predicted"), (~F.col("answerable")).alias("actual"))
+    found = verify.abstention(pairs, [])
+    return found.select("tp", "fp", "fn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
+
+
+def _calendar(spark: SparkSession) -> DataFrame:
+    """Working days of a century: some hundred rows a year."""
+    return dt.calendar(spark, 2000, 2099)
+
+
+@query()
+def ask_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traces of the questions of the query set: redacted, searched, injected chunks blocked, planned or extracted, verified."""
+    found = answer.ask(_questions(spark, sf_dir), spread(table(spark, sf_dir, "chunks")), _calendar(spark))
+    return found.withColumn("sources", F.to_json("sources")).withColumn("pii_redacted", F.to_json("pii_redacted")).withColumn("blocked_chunks", F.array_join("blocked_chunks", ","))
+
+
+@query()
+def evaluation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row on all evaluation questions as this library answers them: accuracy, abstention, faithfulness, citation precision, date accuracy, and the gates."""
+    items = table(spark, sf_dir, "eval_dataset").groupBy(F.col("id").alias("qid")).agg(F.min("question").alias("question"), F.max("answerable").alias("answerable"), F.min("must_include").alias("must_include"), F.min("expected_docs").alias("expected_docs"), F.min("expected_date").alias("expected_date"))
+    chunks = spread(table(spark, sf_dir, "chunks"))
+    told = answer.ask(items.where("question is not null").select("qid", "question"), chunks, _calendar(spark)).select("qid", "answer", "abstained", "sources", "faithfulness")
+    rows = cut(items.drop("question").join(told, "qid"))
+    docs = chunks.select("chunk_id", "doc_id").dropDuplicates(["chunk_id"])
+    cited = rows.where("answerable and not abstained").select("qid", "expected_docs", F.explode("sources").alias("s")).join(docs, F.col("s.chunk_id") == docs["chunk_id"])
+    precision = cited.agg(F.coalesce(F.avg(F.array_contains("expected_docs", F.col("doc_id")).cast("int")), F.lit(0.0)).alias("citation_precision"))
+    has_all = F.forall("must_include", lambda m: F.contains(F.lower("answer"), F.lower(m)))
+    on = F.col("answerable") & ~F.col("abstained")
+    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
+    main = rows.agg(
+        F.count_if("answerable").alias("answerable"),
+        mean(F.when(F.col("answerable"), F.coalesce(on & has_all, F.lit(False)).cast("int"))).alias("accuracy"),
+        mean(F.when(on, F.col("faithfulness"))).alias("faithfulness"),
+        mean(F.when(F.col("answerable") & F.col("expected_date").isNotNull(), F.contains("answer", F.col("expected_date")).cast("int"))).alias("date_accuracy"),
+    )
+    quality = verify.abstention(rows.where("answerable is not null").select(F.col("abstained").alias("predicted"), (~F.col("answerable")).alias("actual")), []).select(F.col("f1").alias("abstention_f1"))
+    every = main.join(F.broadcast(precision)).join(F.broadcast(quality))  # three tables of one row
+    gates = (F.col("accuracy") >= 0.8) & (F.col("abstention_f1") >= 0.8) & (F.col("faithfulness") >= 1.0) & (F.col("date_accuracy") >= 1.0)
+    return every.select("answerable", *(F.round(c, 6).alias(c) for c in ("accuracy", "faithfulness", "date_accuracy", "citation_precision", "abstention_f1")), gates.alias("gates_passed"))
+
+
 @query()
 def extractive_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers of cited sentences to the questions of the query set, or an abstention."""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -67,6 +66,12 @@ class _Markdown(HTMLParser):
             self.out.append(data)
 
 
+@F.pandas_udf(T.StringType())
+def text_of(content: pd.Series) -> pd.Series:
+    """Bytes as UTF-8 text; what is none becomes the replacement character (the built-in decoding fails on it)."""
+    return content.map(lambda b: None if b is None else bytes(b).decode("utf-8-sig", "replace"))
+
+
 @F.pandas_udf(T.StructType([T.StructField("title", T.StringType()), T.StructField("body", T.StringType())]))
 def html_to_markdown(pages: pd.Series) -> pd.DataFrame:
     """Title and text of HTML pages; there is no built-in HTML parser. White space is left to ``tidy``."""
@@ -91,14 +96,14 @@ def read_directory(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     name = F.regexp_extract("path", r"([^/]+)\.([^./]+)$", 1)
     ending = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    raw = files.select(name.alias("doc_id"), ending.alias("ending"), F.decode("content", "UTF-8").alias("raw")).where(F.col("ending").isin(*ENDINGS))
+    raw = files.select(name.alias("doc_id"), ending.alias("ending"), text_of("content").alias("raw")).where(F.col("ending").isin(*ENDINGS))
     page = raw.where(F.col("ending").isin("html", "htm")).withColumn("page", html_to_markdown("raw"))
     pages = page.select("doc_id", F.col("page.title").alias("found"), tidy(F.col("page.body")).alias("text"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")).alias("meta"))
     meta, body = front_matter(F.col("raw"))
     plain = raw.where(~F.col("ending").isin("html", "htm")).select("doc_id", F.lit("").alias("found"), body.alias("text"), meta.alias("meta"))
     every = plain.unionByName(pages)
     get = lambda k: F.try_element_at("meta", F.lit(k))
-    heading = F.nullif(F.trim(F.regexp_extract("text", r"(?m)^#\s+(.+)$", 1)), F.lit(""))
+    heading = F.nullif(F.trim(F.regexp_extract("text", r"(?m)^#+\s*(.+)$", 1)), F.lit(""))
     title = F.coalesce(F.nullif(get("title"), F.lit("")), F.nullif(F.col("found"), F.lit("")), heading, F.initcap(F.replace("doc_id", F.lit("-"), F.lit(" "))))
     return every.select("doc_id", title.alias("title"), F.coalesce(get("agency"), F.lit("")).alias("agency"), F.coalesce(get("url"), F.lit("")).alias("url"), "text", "meta")
 
@@ -132,15 +137,3 @@ def chunk_documents(documents: DataFrame, max_words: int = MAX_WORDS) -> DataFra
     flat = F.flatten(F.transform("sections", lambda s: F.transform(s["packs"], lambda p: F.struct(s["section"].alias("section"), p.alias("text")))))
     out = per_doc.select("doc_id", "title", "agency", "url", F.posexplode(flat).alias("i", "c"))
     return out.select(F.concat_ws("#", "doc_id", F.col("i").cast("string")).alias("chunk_id"), "doc_id", "title", "agency", "url", F.col("c.section").alias("section"), F.col("c.text").alias("text"))
-
-
-def links(pages: Iterator[str]) -> list[list[str]]:
-    """The targets of the links of each page, in order."""
-    out = []
-    for page in pages:
-        found: list[str] = []
-        parser = HTMLParser()
-        parser.handle_starttag = lambda tag, attrs, found=found: found.extend(v for k, v in attrs if tag == "a" and k == "href" and v)  # type: ignore[method-assign]
-        parser.feed(page or "")
-        out.append(found)
-    return out
