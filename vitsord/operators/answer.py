@@ -22,8 +22,7 @@ ENGLISH = r"(?iuU)\b(the|what|how|when)\b"
 
 def question_terms(questions: DataFrame, known: DataFrame) -> DataFrame:
     """(qid, question), (term, idf) -> (qid, qterms): each term with its place in the question, its alternatives and their idf."""
-    stop = F.array(*(F.lit(w) for w in tx.STOP))
-    kept = F.filter(tx.tokens(F.col("question")), lambda t: ~F.array_contains(stop, t) & ((F.char_length(t) > 1) | t.rlike(r"^\p{Nd}+$")))
+    kept = F.filter(tx.tokens(F.col("question")), tx.is_content)
     words = questions.select("qid", F.posexplode(kept).alias("pos", "token")).withColumn("term", tx.stem(F.col("token")))
     gloss = tx.glossary(questions.sparkSession).withColumnRenamed("gloss", "alt")
     own = words.select("qid", "pos", "term", F.col("term").alias("alt"))

@@ -62,8 +62,7 @@ def idf(found: DataFrame, size: DataFrame) -> DataFrame:
 def query_terms(questions: DataFrame) -> DataFrame:
     """(qid, question) -> (qid, term, alt): each content term of a question with itself and its glossary terms."""
     gloss = tx.glossary(questions.sparkSession)
-    stop = F.array(*(F.lit(w) for w in tx.STOP))
-    kept = F.filter(tx.tokens(F.col("question")), lambda t: ~F.array_contains(stop, t) & ((F.char_length(t) > 1) | t.rlike(r"^\p{Nd}+$")))
+    kept = F.filter(tx.tokens(F.col("question")), tx.is_content)
     words = questions.select("qid", F.explode(F.array_distinct(kept)).alias("token")).withColumn("term", tx.stem(F.col("token")))
     own = words.select("qid", "term", F.col("term").alias("alt"))
     more = words.join(F.broadcast(gloss), "token").select("qid", "term", F.col("gloss").alias("alt"))
@@ -257,7 +256,7 @@ def hybrid(questions: DataFrame, terms: DataFrame, vectors: DataFrame, query_vec
 
 def dense_confidence(covered: DataFrame, low: float = 0.78, high: float = 0.90) -> DataFrame:
     """(qid, rank, coverage, dense) -> (qid, confidence): coverage of the three first hits, or their similarity between ``low`` and ``high`` if higher."""
-    near = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("dense") - low) / (high - low)))
+    near = F.when(F.col("dense").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("dense") - low) / (high - low))))
     return covered.where("rank <= 3").groupBy("qid").agg(F.greatest(F.max("coverage"), F.coalesce(F.max(near), F.lit(0.0))).alias("confidence"))
 
 
