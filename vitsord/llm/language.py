@@ -36,13 +36,13 @@ FIT_DOCUMENTS, FIT_QUESTIONS = 4000, 6000
 #: Pieces for one centroid, and most centroids of a language beside its mean.
 PER_CENTROID, CENTROIDS = 40, 16
 #: A labelled piece stays while its own label's mean is at least so near, against the nearest other one.
-NEAR = 0.8
+NEAR = 0.7
 #: How many times a word counts beside its n-grams.
 WORD = 3
 #: Hash buckets of the features.
 BUCKETS = 1 << 16
 #: Cosine from which labelled pieces are nearly equal, and their votes from which a label is taken as known.
-ALIKE, VOTES = 0.6, 4
+ALIKE, VOTES = 0.75, 4
 #: Share of the usual cosine of a language's own pieces below which a piece is rejected.
 REJECT = 0.05
 #: Cost of a change of language in cosine times letters, by the break before the piece.
