@@ -13,7 +13,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import DataType
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
@@ -23,8 +22,14 @@ K1, B = 1.4, 0.75
 RRF_K = 60
 #: Most query vectors held by every task of a dense search; more are searched in several passes.
 QUERY_BLOCK = 4096
-#: Rows scored at once against a block of questions.
+#: Rows scored at once against a block of query vectors.
 ROWS = 1000
+#: Sets of words held by every task of a search, in ``QUERY_BLOCK``s.
+SETS = 16
+#: Chunks that a task of a search has at most on average; rows of its first block and of the further ones, which are indexed at once.
+TASK_ROWS, FIRST_ROWS, BLOCK_ROWS = 500_000, 4096, 65_536
+#: More than sums of the same gains in another order, or rounding to nine digits, may differ by.
+SLACK = 1e-8
 #: Buckets of hashed term vectors.
 DIMENSIONS = 256
 
@@ -77,80 +82,142 @@ def indexed(chunks: DataFrame) -> DataFrame:
 def search(questions: DataFrame, terms: DataFrame, k: int = 5) -> DataFrame:
     """(qid, question) x ``indexed`` chunks -> (qid, rank, chunk_id, score): the k best chunks of every question by BM25.
 
-    Questions are taken in blocks of ``QUERY_BLOCK``. A pass over the chunks scores each batch of rows against the words of a block
-    and keeps the k best of each question per task, so that what is shuffled is k rows per question and task, never a row per
+    Questions of the same words are one set of words and searched once; of chunks with the same terms only the k lowest ids can be
+    among the best. Sets are taken in blocks of ``SETS`` times ``QUERY_BLOCK``. A pass over the chunks scores them against the sets of
+    a block and keeps the k best of each set per task, so that what is shuffled is k rows per set and task, never a row per
     question and chunk; the result is exact. Ties of the score go to the lower chunk_id. Contributions are added in the order of
     the terms, so that equal sets of terms give equal scores.
     """
     spark = questions.sparkSession
-    wanted = query_terms(questions).select("qid", F.col("alt").alias("term")).dropDuplicates()
-    n = questions.select("qid").distinct().count()
-    blocks = max(1, math.ceil(n / QUERY_BLOCK))
-    of = F.pmod(F.xxhash64("qid"), F.lit(blocks))
+    asked = query_terms(questions).groupBy("qid").agg(F.array_sort(F.collect_set("alt")).alias("words"))
+    asked = cut(asked.select("qid", "words", F.concat_ws(" ", "words").alias("said")))
+    sets = cut(asked.select("said", "words").dropDuplicates(["said"]).select(F.monotonically_increasing_id().alias("set_no"), "said", "words"))
+    blocks = max(1, math.ceil(sets.count() / (SETS * QUERY_BLOCK)))
+    of = F.pmod(F.xxhash64("set_no"), F.lit(blocks))
     size = corpus_size(terms)
-    avgdl = float(size.collect()[0]["avgdl"])
+    of_all = size.collect()[0]
+    slots = max(spark.sparkContext.defaultParallelism, math.ceil(of_all["n"] / TASK_ROWS))
+    alike = terms.select("chunk_id", F.sort_array("terms").alias("terms"), "dl").withColumn("h", F.xxhash64("terms")).repartition(slots, "h")
+    alike = alike.withColumn("copy", F.row_number().over(Window.partitionBy("h", "terms").orderBy("chunk_id"))).where(F.col("copy") <= k).select("chunk_id", "terms", "dl")
+    alike = cut(alike) if blocks > 1 else alike
     found = []
     for block in range(blocks):
-        words = cut(wanted.where(of == block)) if blocks > 1 else wanted
-        # at most QUERY_BLOCK questions and their words
-        asked = words.select("qid", "term").collect()
-        used = spark.createDataFrame(sorted({(r["term"],) for r in asked}), "term string")
+        # at most SETS * QUERY_BLOCK sets and their words
+        some = sets.where(of == block).select("set_no", "words").toArrow()
+        used = spark.createDataFrame([(t,) for t in sorted(set(pc.unique(some.column(1).combine_chunks().flatten()).to_pylist()))], "term string")
         weights = {r["term"]: r["idf"] for r in idf(terms_once(terms).join(F.broadcast(used), "term", "left_semi"), size).collect()}
-        found.append(_best_chunks(terms, [(r["qid"], r["term"]) for r in asked], weights, avgdl, k, questions.schema["qid"].dataType))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "chunk_id"))
-    return reduce(DataFrame.unionByName, found).withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "rank", "chunk_id", "score")
-
-
-def _best_chunks(terms: DataFrame, asked: list[tuple[object, str]], weights: dict[str, float], avgdl: float, k: int, kind: DataType) -> DataFrame:
-    """The k best chunks (qid, chunk_id, score) of each question in each task; ``asked`` are the words of a block of questions."""
-    vocabulary = sorted(t for t in weights)
-    place = {t: i for i, t in enumerate(vocabulary)}
-    qids = sorted({q for q, _ in asked})
-    row = {q: i for i, q in enumerate(qids)}
-    askers: list[list[int]] = [[] for _ in vocabulary]
-    for q, t in asked:
-        if t in place:
-            askers[place[t]].append(row[q])
-    shared = terms.sparkSession.sparkContext.broadcast((qids, vocabulary, [np.array(sorted(x), np.int64) for x in askers], [weights[t] for t in vocabulary]))
+        found.append(_best_chunks(alike, some, weights, float(of_all["avgdl"]), k))
+    rank = F.row_number().over(Window.partitionBy("set_no").orderBy(F.round("score", 9).desc(), "chunk_id"))
+    best = reduce(DataFrame.unionByName, found).withColumn("rank", rank).where(F.col("rank") <= k)
+    return best.join(sets.select("set_no", "said"), "set_no").join(asked.select("qid", "said"), "said").select("qid", "rank", "chunk_id", "score")
+
+
+def _row_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in blocks: a small one, from which the least scores are known, then blocks of about ``BLOCK_ROWS``."""
+    held, n, most = [], 0, FIRST_ROWS
+    for whole in batches:
+        at = 0
+        while at < whole.num_rows:
+            part = whole.slice(at, most - n)
+            held.append(part)
+            at, n = at + part.num_rows, n + part.num_rows
+            if n == most:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, n, most = [], 0, BLOCK_ROWS
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _best_chunks(terms: DataFrame, sets: pa.Table, weights: dict[str, float], avgdl: float, k: int) -> DataFrame:
+    """The k best chunks (set_no, chunk_id, score) of each set of words (set_no, words) in each task."""
+    vocabulary = sorted(weights)
+    words = sets.column(1).combine_chunks()
+    code = pc.index_in(words.flatten(), value_set=pa.array(vocabulary, pa.string())).fill_null(-1).to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(len(words)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+    starts = np.searchsorted(owner[code >= 0], np.arange(len(words) + 1))  # words are in the order of the terms
+    shared = terms.sparkSession.sparkContext.broadcast((sets.column(0).to_numpy(), starts, code[code >= 0], vocabulary, np.array([weights[t] for t in vocabulary])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, vocabulary, askers, idfs = shared.value
+        numbers, starts, codes, vocabulary, idfs = shared.value
         known = pa.array(vocabulary, pa.string())
-        best_score = np.full((len(qids), k), -np.inf)
-        best_chunk = np.full((len(qids), k), "", object)
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                part = whole.slice(at, ROWS)
-                if not len(vocabulary) or not part.num_rows:
+        best_score = np.full((len(numbers), k), -np.inf)
+        best_chunk = np.full((len(numbers), k), "", object)
+        asking = np.flatnonzero(np.diff(starts))
+        for part in _row_blocks(batches) if len(asking) else ():
+            n = part.num_rows
+            lists = part.column(1)
+            code = pc.index_in(lists.flatten(), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
+            chunk = np.repeat(np.arange(n), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+            there = code >= 0
+            key, tf = np.unique(code[there].astype(np.int64) * n + chunk[there], return_counts=True)
+            term, row = np.divmod(key, n)
+            dl = part.column(2).to_numpy(zero_copy_only=False)[row]
+            gain = idfs[term] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl)))
+            of_term = np.searchsorted(term, np.arange(len(vocabulary) + 1))
+            some = np.diff(of_term) > 0
+            most = np.zeros(len(vocabulary))
+            if len(term):
+                most[some] = np.maximum.reduceat(gain, of_term[:-1][some])
+            postings = [(row[a:z], gain[a:z]) for a, z in zip(of_term[:-1].tolist(), of_term[1:].tolist())]
+            ids = part.column(0).to_numpy(zero_copy_only=False)
+            by_id = np.empty(n, np.int64)
+            by_id[np.argsort(ids)] = np.arange(n)
+            # a set whose words' greatest gains together stay below its k-th score has no better chunk here
+            reach = np.add.reduceat(most[codes], starts[asking])
+            for q in asking[(reach > 0) & (reach >= best_score[asking, -1] - SLACK)].tolist():
+                own = codes[starts[q] : starts[q + 1]].tolist()
+                hit, s = _scored(postings, most, key, gain, own, n, best_score[q, -1] - SLACK)
+                if not len(hit):
                     continue
-                lists = part.column(1)
-                code = pc.index_in(lists.flatten(), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
-                chunk = np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
-                there = code >= 0
-                key, tf = np.unique(code[there].astype(np.int64) * part.num_rows + chunk[there], return_counts=True)
-                term, chunk = np.divmod(key, part.num_rows)
-                dl = part.column(2).to_numpy(zero_copy_only=False)[chunk]
-                gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
-                scores = np.zeros((len(qids), part.num_rows))
-                starts = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.empty(0, np.int64)
-                for a, z in zip(starts, [*starts[1:], len(term)]):  # in the order of the terms
-                    t = int(term[a])
-                    scores[np.ix_(askers[t], chunk[a:z])] += idfs[t] * gain[a:z]
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                near = min(4 * k, part.num_rows)
-                for q in np.flatnonzero(scores.max(axis=1, initial=0) > 0).tolist():
-                    s = np.round(scores[q], 9)
-                    least = np.partition(s, len(s) - near)[len(s) - near] if near < len(s) else 0.0
-                    hit = np.flatnonzero((s >= least) & (s > 0))  # all ties of the last place among them
-                    every = [(-a, c, b) for a, c, b in zip(s[hit], ids[hit], scores[q][hit])]
-                    every += [(-round(b, 9), c, b) for b, c in zip(best_score[q], best_chunk[q]) if b > -np.inf]
-                    for i, (_, c, b) in enumerate(sorted(every)[:k]):
-                        best_score[q, i], best_chunk[q, i] = b, c
+                r = np.round(s, 9)
+                if len(hit) > k:
+                    least = r >= np.partition(r, len(r) - k)[len(r) - k]  # with all ties of the last place
+                    hit, s, r = hit[least], s[least], r[least]
+                first = np.lexsort((by_id[hit], -r))[:k]
+                every = [(-a, c, b) for a, c, b in zip(r[first].tolist(), ids[hit[first]], s[first].tolist())]
+                every += [(-round(b, 9), c, b) for b, c in zip(best_score[q].tolist(), best_chunk[q]) if b > -np.inf]
+                for i, (_, c, b) in enumerate(sorted(every)[:k]):
+                    best_score[q, i], best_chunk[q, i] = b, c
         at, place = np.nonzero(best_score > -np.inf)
-        yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i in at], qid_type), pa.array(best_chunk[at, place], pa.string()), pa.array(best_score[at, place], pa.float64())], names=["qid", "chunk_id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(numbers[at], pa.int64()), pa.array(best_chunk[at, place], pa.string()), pa.array(best_score[at, place], pa.float64())], names=["set_no", "chunk_id", "score"])
 
-    qid_type = to_arrow_type(kind)
-    return terms.select("chunk_id", "terms", "dl").mapInArrow(run, f"qid {kind.simpleString()}, chunk_id string, score double")
+    return terms.select("chunk_id", "terms", "dl").mapInArrow(run, "set_no bigint, chunk_id string, score double")
+
+
+def _scored(postings: list[tuple[np.ndarray, np.ndarray]], most: np.ndarray, key: np.ndarray, gain: np.ndarray, own: list[int], n: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a block that score at least ``least``, if not more, for the terms ``own``, and their scores.
+
+    ``postings`` has the rows and gains of each term, ``most`` its greatest gain, ``key`` and ``gain`` all postings by term * n + row.
+    Rows that have only terms whose greatest gains together stay below ``least`` are not looked at.
+    """
+    needed, left = own, 0.0
+    if least > 0:
+        needed = []
+        for t in sorted(own, key=most.__getitem__):
+            if needed or left + most[t] >= least:
+                needed.append(t)
+            else:
+                left += most[t]
+        needed.sort()
+    if not needed:
+        return np.empty(0, np.int64), np.empty(0)
+    lists = [postings[t] for t in needed]
+    s = np.bincount(np.concatenate([x[0] for x in lists]), np.concatenate([x[1] for x in lists]), n)
+    hit = np.flatnonzero(s > max(0.0, least - left - SLACK))
+    if len(needed) == len(own) or not len(hit):
+        return hit, s[hit]
+    lists = [postings[t] for t in own]
+    if 40 * len(hit) * len(own) > sum(len(x[0]) for x in lists):  # looking up so many is slower than adding all
+        s = np.bincount(np.concatenate([x[0] for x in lists]), np.concatenate([x[1] for x in lists]), n)
+        hit = np.flatnonzero(s > max(0.0, least - SLACK))
+        return hit, s[hit]
+    # the remaining rows in full, added in the order of the terms
+    total = np.zeros(len(hit))
+    wanted = np.array(own, np.int64)[:, None] * n + hit
+    at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+    for part in np.where(key[at] == wanted, gain[at], 0.0):
+        total += part
+    return hit, total
 
 
 def coverage(questions: DataFrame, hits: DataFrame, terms: DataFrame) -> DataFrame:
