@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import guard
 from ..functions import text as tx
-from ..runtime import cut
+from ..runtime import cut, spread
 from . import plan, retrieve, verify
 
 ABSTAIN_BELOW = 0.34
@@ -55,15 +55,18 @@ def scored_sentences(questions: DataFrame, hits: DataFrame, chunks: DataFrame, t
     """
     alts = retrieve.query_terms(questions).select(F.col("alt").alias("term")).dropDuplicates()
     known = retrieve.idf(retrieve.terms_once(terms).join(alts, "term", "left_semi"), retrieve.corpus_size(terms))
-    own = chunks.dropDuplicates(["chunk_id"]).select("chunk_id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("title", "section", "text")))
-    rows = hits.where(F.col("rank") <= HITS).select("qid", "rank", "chunk_id").join(own, "chunk_id").join(question_terms(questions, known), "qid")
-    rows = rows.withColumn("title_terms", tx.content_terms(F.col("title"))).withColumn("section_terms", tx.content_terms(F.col("section")))
+    first = hits.where(F.col("rank") <= HITS).select("qid", "rank", "chunk_id")
+    # each chunk that is among the hits of any question is taken apart once
+    own = chunks.join(first.select("chunk_id").distinct(), "chunk_id", "left_semi").dropDuplicates(["chunk_id"]).select("chunk_id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("title", "section", "text")))
+    parts = F.transform(tx.sentences(F.col("text")), lambda x: F.named_struct(F.lit("sentence"), x, F.lit("s_terms"), tx.content_terms(x)))
+    apart = cut(spread(own).select("chunk_id", tx.content_terms(F.col("title")).alias("title_terms"), tx.content_terms(F.col("section")).alias("section_terms"), parts.alias("parts")))
+    rows = first.join(apart, "chunk_id").join(question_terms(questions, known), "qid")
     in_section = F.filter("qterms", lambda t: _has(t, F.col("section_terms")) & ~_has(t, F.col("title_terms")))
     rows = rows.withColumn("bonus", F.aggregate(in_section, F.lit(0.0), lambda a, t: a + _best(t["alts"])))
     # each term with its weight for this chunk
-    weighed = F.transform("qterms", lambda t: F.struct(t["alts"].alias("alts"), F.when(_has(t, F.col("title_terms")), 0.5).otherwise(1.0).alias("w")))
-    rows = rows.select("qid", "rank", "chunk_id", "bonus", weighed.alias("qterms"), F.posexplode(tx.sentences(F.col("text"))).alias("pos", "sentence"))
-    rows = rows.withColumn("s_terms", tx.content_terms(F.col("sentence"))).withColumn("hit", F.filter("qterms", lambda t: _has(t, F.col("s_terms"))))
+    weighed = F.transform("qterms", lambda t: F.named_struct(F.lit("alts"), t["alts"], F.lit("w"), F.when(_has(t, F.col("title_terms")), 0.5).otherwise(1.0)))
+    rows = rows.select("qid", "rank", "chunk_id", "bonus", weighed.alias("qterms"), F.posexplode("parts").alias("pos", "p")).select("qid", "rank", "chunk_id", "bonus", "qterms", "pos", "p.sentence", "p.s_terms")
+    rows = rows.withColumn("hit", F.filter("qterms", lambda t: _has(t, F.col("s_terms"))))
     overlap = F.aggregate("hit", F.lit(0.0), lambda a, t: a + t["w"] * _best(F.filter(t["alts"], lambda x: F.array_contains("s_terms", x["alt"]))))
     rows = rows.where(F.size("hit") > 0).withColumn("overlap", overlap).where("overlap > 0")
     return rows.select("qid", "rank", "pos", "chunk_id", "sentence", ((F.col("overlap") + 0.6 * F.col("bonus")) * F.element_at("hit", -1)["w"]).alias("score"))

@@ -287,8 +287,10 @@ def evaluation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row on all evaluation questions as this library answers them: accuracy, abstention, faithfulness, citation precision, date accuracy, and the gates."""
     items = table(spark, sf_dir, "eval_dataset").groupBy(F.col("id").alias("qid")).agg(F.min("question").alias("question"), F.max("answerable").alias("answerable"), F.min("must_include").alias("must_include"), F.min("expected_docs").alias("expected_docs"), F.min("expected_date").alias("expected_date"))
     chunks = spread(table(spark, sf_dir, "chunks"))
-    told = answer.ask(items.where("question is not null").select("qid", "question"), chunks, _calendar(spark)).select("qid", "answer", "abstained", "sources", "faithfulness")
-    rows = cut(items.drop("question").join(told, "qid"))
+    # questions of the same text have the same answer
+    asked = cut(items.where("question is not null").groupBy("question").agg(F.min("qid").alias("asked_as")))
+    told = answer.ask(asked.select(F.col("asked_as").alias("qid"), "question"), chunks, _calendar(spark)).select(F.col("qid").alias("asked_as"), "answer", "abstained", "sources", "faithfulness")
+    rows = cut(items.join(asked.join(told, "asked_as").drop("asked_as"), "question").drop("question"))
     docs = chunks.select("chunk_id", "doc_id").dropDuplicates(["chunk_id"])
     cited = rows.where("answerable and not abstained").select("qid", "expected_docs", F.explode("sources").alias("s")).join(docs, F.col("s.chunk_id") == docs["chunk_id"])
     precision = cited.agg(F.coalesce(F.avg(F.array_contains("expected_docs", F.col("doc_id")).cast("int")), F.lit(0.0)).alias("citation_precision"))
