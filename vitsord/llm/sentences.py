@@ -5,7 +5,8 @@ posteriors over the gaps of a line decide where it stands. The model is estimate
 certain boundaries, gaps behind a word without a closing mark certain non-boundaries, and all other gaps are filled in by
 expectation maximisation. Thai, which has no closing marks, has a gap at every space.
 
-Fit: on at most ``FIT_ROWS`` texts of each input (chosen by hash), counted by Spark, so the broadcast model is bounded.
+Fit: on every distinct text of each input, in one pass that counts certain events and the gaps of lines; lines with equal gaps are
+one row with its number, and the rounds of estimation read those rows. The broadcast model has the words beside gaps and in lines.
 Decoding: every row, one Arrow pass, no shuffle of texts.
 
 Defined results: null, empty or blank text gives no unit; equal rows give each unit once; empty tables give empty results;
@@ -25,10 +26,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import spread, table
+from ..runtime import cut, spread, table
 
-#: Most texts of one input from which the language model is estimated.
-FIT_ROWS = 6000
+#: Keys that a task counts before it hands them on.
+HELD = 200_000
 #: Rounds of expectation maximisation after the first guess.
 ROUNDS = 2
 
@@ -287,16 +288,17 @@ def units(model: BoundaryModel, texts: list[str | None]) -> list[list[int]]:
     return out
 
 
-def _known(line: str, counts: Counter) -> None:
-    """Certain events of a line: its start, its end, the words inside that follow no closing mark; and its open gaps."""
+def _known(line: str, counts: Counter) -> list[tuple[int, int, str, str, int]]:
+    """Certain events of a line: its start, its end, the words inside that follow no closing mark; and its open gaps, which are returned."""
     item = _ITEM.match(line)
     words = line[item.end() if item else 0 :].split()
     if not words:
-        return
+        return []
     if not item:
         counts["OPENS", _norm_right(words[0])] += 1
+    spaceless = _SPACELESS.search(line) is not None
     for a, b in zip(words, words[1:]):
-        if (a[-1].isalnum() or a[-1] in ",;:") and not _SPACELESS.search(a[-1] + b[0]):
+        if (a[-1].isalnum() or a[-1] in ",;:") and not (spaceless and _SPACELESS.search(a[-1] + b[0])):
             counts["INSIDE", _norm_right(b)] += 1
     tail = _CITES.sub("", line[-80:].rstrip())
     last = None
@@ -304,42 +306,71 @@ def _known(line: str, counts: Counter) -> None:
         pass
     left = _word_before(tail, last.start(), 0) + last.group(1) + last.group(2) if last and last.end(2) >= len(tail) else (tail[-30:].split() or [""])[-1]
     counts["ENDS", _norm_left(left)] += 1
-    for _, _, left, right, _ in _candidates(line):
+    found = _candidates(line)
+    for _, _, left, right, _ in found:
         counts["CL", left] += 1
         counts["CR", right] += 1
+    return found
+
+
+Keys = dict[tuple[str, ...], float]
+
+
+def _batch(known: bool, counts: Keys) -> pa.RecordBatch:
+    keys = list(counts)
+    return pa.RecordBatch.from_arrays([pa.array([known] * len(keys), pa.bool_()), pa.array([list(k) for k in keys], pa.list_(pa.string())), pa.array([float(counts[k]) for k in keys], pa.float64())], names=["known", "key", "n"])
 
 
-def _counted(texts: Iterator[str], model: BoundaryModel | None, guess: bool) -> Counter:
-    """Certain counts without a model; else expected counts, from the first guess or from the posteriors."""
+def _events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Certain events of the lines, and the gaps of each line (left and right word, words between), with their numbers."""
+    known, open_gaps = Counter(), Counter()
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            for _, line in _lines(text or ""):
+                found = _known(line, known)
+                if found:
+                    open_gaps[tuple(x for _, _, left, right, between in found for x in (left, right, str(between)))] += 1
+        if len(known) + len(open_gaps) > HELD:
+            yield _batch(True, known)
+            yield _batch(False, open_gaps)
+            known, open_gaps = Counter(), Counter()
+    yield _batch(True, known)
+    yield _batch(False, open_gaps)
+
+
+def _expected(rows: list[tuple[list[str], float]], model: BoundaryModel, guess: bool) -> Counter:
+    """Expected counts of the gaps of lines, from the first guess or from the posteriors."""
     counts: Counter = Counter()
-    if model is None:
-        for text in texts:
-            for _, line in _lines(text):
-                _known(line, counts)
-        return counts
-    gaps = [_candidates(line) for text in texts for _, line in _lines(text)]
+    gaps = [[(0, 0, key[i], key[i + 1], int(key[i + 2])) for i in range(0, len(key), 3)] for key, _ in rows]
     posts = [[model.first_guess(g[2], g[3]) for g in found] for found in gaps] if guess else posteriors(model, gaps)
-    for found, post in zip(gaps, posts):
+    for (_, n), found, post in zip(rows, gaps, posts):
         for i, ((_, _, left, right, between), p) in enumerate(zip(found, post)):
             context = "-" if i == 0 or between else "B" if post[i - 1] > 0.5 else "N"
-            counts["LB", left, context] += p
-            counts["LN", left, context] += 1 - p
-            counts["BR", right] += p
-            counts["NR", right] += 1 - p
+            counts["LB", left, context] += n * p
+            counts["LN", left, context] += n * (1 - p)
+            counts["BR", right] += n * p
+            counts["NR", right] += n * (1 - p)
     return counts
 
 
-def _sum_counts(sample: DataFrame, model: BoundaryModel | None = None, guess: bool = False) -> dict[tuple[str, ...], float]:
-    packed = pickle.dumps(model)
+def _collected(counted: DataFrame) -> Keys:
+    return {tuple(r["key"]): r["n"] for r in counted.select("key", "n").collect()}
+
+
+def _soft_counts(lines: DataFrame, model: BoundaryModel, guess: bool = False) -> Keys:
+    """Expected counts over all rows (key, n) of ``lines``."""
+    shared = lines.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = (t for batch in batches for t in batch.column(0).to_pylist() if t)
-        counts = _counted(texts, pickle.loads(packed), guess)
-        keys = list(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(["\x1f".join(k) for k in keys], pa.string()), pa.array([float(counts[k]) for k in keys], pa.float64())], names=["key", "n"])
+        m, counts = pickle.loads(shared.value), Counter()
+        for batch in batches:
+            counts.update(_expected(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), m, guess))
+            if len(counts) > HELD:
+                yield _batch(False, counts)
+                counts = Counter()
+        yield _batch(False, counts)
 
-    rows = sample.mapInArrow(count, "key string, n double").groupBy("key").agg(F.sum("n").alias("n")).collect()
-    return {tuple(r["key"].split("\x1f")): r["n"] for r in rows}
+    return _collected(lines.select("key", "n").mapInArrow(count, "known boolean, key array<string>, n double").groupBy("key").agg(F.sum("n").alias("n")))
 
 
 def _with_certain(known: dict, soft: dict) -> dict:
@@ -362,18 +393,19 @@ def bounded_sample(df: DataFrame, column: str, rows: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(column), F.lit(1_000_000)) < int(1_000_000 * rows / n))
 
 
-def fit(texts: list[DataFrame], fit_rows: int = FIT_ROWS) -> BoundaryModel:
-    """Estimate the model from one-column frames named ``text``."""
-    sample = None
+def fit(texts: list[DataFrame]) -> BoundaryModel:
+    """Estimate the model from every distinct text of one-column frames named ``text``."""
+    every = None
     for df in texts:
-        part = bounded_sample(df.where("text is not null"), "text", fit_rows).dropDuplicates(["text"])
-        sample = part if sample is None else sample.unionByName(part)
-    sample = sample.repartition(min(8, sample.sparkSession.sparkContext.defaultParallelism)).cache()
-    known = _sum_counts(sample)
-    soft = _sum_counts(sample, BoundaryModel(known), guess=True)
+        parts = max(df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions())
+        part = df.where("text is not null").repartition(parts, "text").dropDuplicates(["text"]).mapInArrow(_events, "known boolean, key array<string>, n double")
+        every = part if every is None else every.unionByName(part)
+    counted = cut(every.groupBy("known", "key").agg(F.sum("n").alias("n")))
+    known = _collected(counted.where("known"))
+    lines = spread(counted.where("not known"))
+    soft = _soft_counts(lines, BoundaryModel(known), guess=True)
     for _ in range(ROUNDS):
-        soft = _sum_counts(sample, BoundaryModel(_with_certain(known, soft)))
-    sample.unpersist()
+        soft = _soft_counts(lines, BoundaryModel(_with_certain(known, soft)))
     kept = {k: v for k, v in _with_certain(known, soft).items() if k[0] in ("LB", "LN", "BR", "NR", "INSIDE")}
     return BoundaryModel(kept)
 
