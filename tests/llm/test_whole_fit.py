@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from vitsord.llm import sentences
+from vitsord.llm import sentences, splitting
 
 N = 13_000
 
@@ -14,3 +14,8 @@ def test_model_counts_every_distinct_text_once(spark):
     model = sentences.fit([x.select("text") for x in _texts(spark)])
     assert model.n["BR", "Case"] == N
     assert model.n["INSIDE", "is"] == model.n["INSIDE", "open"] == N
+
+
+def test_splitting_takes_the_model_of_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(sentences, "corpus_texts", lambda *_: _texts(spark))
+    assert splitting._model(spark, "").n["BR", "Case"] == N
