@@ -5,9 +5,10 @@ posteriors over the gaps of a line decide where it stands. The model is estimate
 certain boundaries, gaps behind a word without a closing mark certain non-boundaries, and all other gaps are filled in by
 expectation maximisation. Thai, which has no closing marks, has a gap at every space.
 
-Fit: on every distinct text of each input, in one pass that counts certain events and the gaps of lines; lines with equal gaps are
-one row with its number, and the rounds of estimation read those rows. The broadcast model has the words beside gaps and in lines.
-Decoding: every row, one Arrow pass, no shuffle of texts.
+Fit: on every distinct text of each input, in one pass that counts certain events and the runs of gaps. A run holds gaps with no
+word between them; runs do not depend on each other, so equal ones are one row with its number, whatever lines they stand in, and the
+rounds of estimation read those rows. The broadcast model has the words beside gaps and in lines.
+Decoding: every row, one Arrow pass, no shuffle of texts; equal runs are decided once a task.
 
 Defined results: null, empty or blank text gives no unit; equal rows give each unit once; empty tables give empty results;
 further columns of the input are ignored, whatever their names. The length of a text is not limited.
@@ -17,8 +18,10 @@ from __future__ import annotations
 
 import functools
 import pickle
+import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,8 @@ from ..runtime import cut, spread, table
 HELD = 200_000
 #: Rounds of expectation maximisation after the first guess.
 ROUNDS = 2
+#: Words beside gaps and runs of gaps that a task keeps worked out.
+KEPT = 400_000
 
 _CLOSE = r"[\"'”“’»«›」』）\)\]】》〉]"
 _CITE = r"(?:\[(?:\d+(?:\s*[,;]\s*\d+)*|\p{Ll}{1,12})\]|\p{So}️?)"
@@ -50,8 +55,16 @@ _WIDE_LETTER = regex.compile(r"[\u3040-\u30ff\u4e00-\u9fff\u3000-\u303f\uff00-\u
 _GLUED = regex.compile(rf"(?<=\p{{L}}{_MARK})(?=[\p{{Lu}}\p{{Lo}}])")
 _CITES = regex.compile(rf"\s*{_CITE}")
 _QUOTES = {"“": "”", "«": "»", "„": "“”", "»": "«", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "”": "”", '"': '"', "《": "》"}
-_ANYQUOTE = regex.compile(r"[\"“”„«»「『」』(（）)《》]")
+_ANYQUOTE = re.compile(r"[\"“”„«»「『」』(（）)《》]")
 _OPEN_WORD = regex.compile(r"^[\"'“”„«»「『(（¿¡\[]+")
+# Patterns of ``re``, which reads a line several times as fast: where they find nothing, those above cannot either.
+_MARKS = re.compile(f"[{_MARK[1:-1]}{_WIDE}]+")
+_RUN = re.compile(rf"{_MARK}+|[{_WIDE}]+")
+_LAST_RUN = re.compile(rf"(?:{_MARK}+|[{_WIDE}]+)\Z")
+_MAY_CITE = re.compile("[\\[" + "".join(regex.findall(r"\p{So}", "".join(map(chr, range(0x10000))))) + "\U00010000-\U0010ffff]")
+_MAY_BE_SPACELESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u19e0-\u19ff\ua9e0-\ua9ff\uaa60-\uaa7f\U00010000-\U0010ffff]")
+#: The word behind one that ends neither in a letter, a digit or an underscore nor in a mark that closes nothing.
+_BEHIND_MARK = re.compile(r"[^\w,;:\s]\s+(?=(\S+))")
 
 
 @functools.lru_cache(200_000)
@@ -126,18 +139,53 @@ def _word_before(line: str, at: int, first: int) -> str:
     return word[-3:] if word and "\u3000" <= word[-1] <= "\uffef" else word
 
 
+def _item(line: str) -> regex.Match | None:
+    """The mark of a list item that ``line`` begins with; a letter begins none unless a bracket follows."""
+    return None if line[:1].isalpha() and line[1:2] != ")" else _ITEM.match(line)
+
+
+def _spaceless(line: str) -> bool:
+    return not line.isascii() and _MAY_BE_SPACELESS.search(line) is not None and _SPACELESS.search(line) is not None
+
+
+def _mark_runs(line: str, first: int) -> Iterator[re.Match]:
+    """Runs of closing marks from ``first`` on, those of wide ones apart."""
+    for m in _MARKS.finditer(line, first):
+        if m.end() - m.start() == 1:
+            yield m
+        else:
+            yield from _RUN.finditer(line, m.start(), m.end())
+
+
 def _candidates(line: str) -> list[tuple[int, int, str, str, int]]:
     """Gaps of one line that may hold a boundary: (end of the left unit, start of the right one, left word, right word, words between)."""
-    item = _ITEM.match(line)
-    first = item.end() if item else 0
+    item = _item(line)
+    first = at = item.end() if item else 0
     found: dict[int, tuple[int, int, str]] = {}
-    for m in _GAP.finditer(line, first):
-        found[m.end()] = (m.end(2), m.end(), _word_before(line, m.start(), first) + m.group(1) + m.group(2))
+    for run in _mark_runs(line, first):  # what _GAP.finditer finds
+        begin, end = run.span()
+        if begin < at or end == len(line):
+            continue
+        after = line[end]
+        if after == " " and line[end + 1 : end + 2].isalpha():
+            at = end + 1
+            found[at] = (end, at, _word_before(line, begin, first) + run.group())
+        elif ("a" <= after <= "z" or "0" <= after <= "9") and line[begin] not in _WIDE:
+            continue
+        elif m := _GAP.match(line, begin):
+            at = m.end()
+            found[at] = (m.end(2), at, _word_before(line, begin, first) + m.group(1) + m.group(2))
     if "[" in line:
-        for m in _CITED.finditer(line, first):
-            if m.end() not in found:
-                found[m.end()] = (m.end(2), m.end(), _word_before(line, m.start(), first) + m.group(1))
-    if _SPACELESS.search(line):
+        at = first
+        for cite in _MAY_CITE.finditer(line, first):  # what _CITED.finditer finds
+            begin = cite.start()
+            while begin > at and line[begin - 1].isspace() and not "\x1c" <= line[begin - 1] <= "\x1f":
+                begin -= 1
+            if begin >= at and (m := _CITED.match(line, begin)):
+                at = m.end()
+                if at not in found:
+                    found[at] = (m.end(2), at, _word_before(line, begin, first) + m.group(1))
+    if _spaceless(line):
         for m in _BLANK.finditer(line, first):
             left = line.rfind(" ", 0, m.start()) + 1
             if m.end() not in found and (_SPACELESS.search(line, m.start() - 1, m.start()) or line[m.start() - 1] in "0123456789]") and not _CITES.match(line, m.end()):
@@ -182,6 +230,7 @@ class BoundaryModel:
         #: How often a boundary is a line break.
         self.rate = 0.25 * total["ENDS"] / max(1.0, total["ENDS"] + total["CL"])
         self.cache: dict[tuple[str, str], np.ndarray] = {}
+        self.decided: dict[tuple[str, ...], list[bool]] = {}
 
     def first_guess(self, left: str, right: str) -> float:
         """Before any expected count: words that end a line as often as boundaries do, and words that open one, make a boundary."""
@@ -216,7 +265,7 @@ class BoundaryModel:
                 p = min(1 - 1e-4, max(1e-4, p))
                 hit[i] = (1 - p) * rn, p * rb
             hit = np.log(hit)
-            if len(self.cache) > 400_000:
+            if len(self.cache) > KEPT:
                 self.cache.clear()
             self.cache[left, right] = hit
         return hit
@@ -258,6 +307,32 @@ def posteriors(model: BoundaryModel, lines: list[list[tuple[int, int, str, str,
     return np.split(post, np.cumsum(sizes)[:-1])
 
 
+def _runs(found: list[tuple[int, int, str, str, int]]) -> list[tuple[str, ...]]:
+    """The gaps of a line in runs without words between: (left word, right word, left word, right word, ...) each."""
+    out: list[tuple[str, ...]] = []
+    for _, _, left, right, between in found:
+        if out and not between:
+            out[-1] += (left, right)
+        else:
+            out.append((left, right))
+    return out
+
+
+def _gaps(run: tuple[str, ...] | list[str]) -> list[tuple[int, int, str, str, int]]:
+    """A run as a line that has no other gaps."""
+    return [(0, 0, run[i], run[i + 1], 0) for i in range(0, len(run), 2)]
+
+
+def _decide(model: BoundaryModel, runs: set[tuple[str, ...]]) -> dict[tuple[str, ...], list[bool]]:
+    """For each run, among others, which of its gaps are boundaries."""
+    if len(model.decided) > KEPT:
+        model.decided.clear()
+    new = [x for x in runs if x not in model.decided] if model.decided else list(runs)
+    for run, post in zip(new, posteriors(model, [_gaps(x) for x in new])):
+        model.decided[run] = (post > 0.5).tolist()
+    return model.decided
+
+
 def _lines(text: str) -> Iterator[tuple[int, str]]:
     at = 0
     for line in text.split("\n"):
@@ -268,49 +343,94 @@ def _lines(text: str) -> Iterator[tuple[int, str]]:
 
 def units(model: BoundaryModel, texts: list[str | None]) -> list[list[int]]:
     """For each text the flat list [start, end, start, end, ...] of its units."""
-    places, gaps, plain = [], [], {}
+    places, plain = [], {}
     for i, text in enumerate(texts):
         for at, line in _lines(text.replace("\r", "\n") if text and "\r" in text else text or ""):
             places.append((i, at, line))
-            found = plain.get(line)
-            if found is None:
-                found = plain[line] = _candidates(line)
-            gaps.append(found)
+            if line not in plain:
+                found = _candidates(line)
+                plain[line] = found, _runs(found)
+    decided = _decide(model, {x for _, runs in plain.values() for x in runs})
     out: list[list[int]] = [[] for _ in texts]
-    for (i, at, line), found, post in zip(places, gaps, posteriors(model, gaps)):
+    for i, at, line in places:
         start = len(line) - len(line.lstrip())
         end = len(line.rstrip())
-        for gap, p in zip(found, post):
-            if p > 0.5 and gap[0] > start:
+        found, runs = plain[line]
+        for gap, boundary in zip(found, (b for x in runs for b in decided[x])):
+            if boundary and gap[0] > start:
                 out[i] += (at + start, at + gap[0])
                 start = gap[1]
         out[i] += (at + start, at + end)
     return out
 
 
-def _known(line: str, counts: Counter) -> list[tuple[int, int, str, str, int]]:
-    """Certain events of a line: its start, its end, the words inside that follow no closing mark; and its open gaps, which are returned."""
-    item = _ITEM.match(line)
-    words = line[item.end() if item else 0 :].split()
-    if not words:
-        return []
-    if not item:
-        counts["OPENS", _norm_right(words[0])] += 1
-    spaceless = _SPACELESS.search(line) is not None
-    for a, b in zip(words, words[1:]):
-        if (a[-1].isalnum() or a[-1] in ",;:") and not (spaceless and _SPACELESS.search(a[-1] + b[0])):
-            counts["INSIDE", _norm_right(b)] += 1
-    tail = _CITES.sub("", line[-80:].rstrip())
+def _last_word(line: str) -> str:
+    """The word that ends a line, with its closing marks and without citations."""
+    tail = line[-80:].rstrip()
+    if _MAY_CITE.search(tail):
+        tail = _CITES.sub("", tail)
+    if tail and not _MAY_CITE.search(tail):
+        if tail[-1].isalnum():
+            return tail[-30:].split()[-1]
+        if last := _LAST_RUN.search(tail, max(0, len(tail) - 12)):
+            return _word_before(tail, last.start(), 0) + last.group()
     last = None
     for last in _GAP.finditer(tail + " X", max(0, len(tail) - 12)):
         pass
-    left = _word_before(tail, last.start(), 0) + last.group(1) + last.group(2) if last and last.end(2) >= len(tail) else (tail[-30:].split() or [""])[-1]
-    counts["ENDS", _norm_left(left)] += 1
-    found = _candidates(line)
-    for _, _, left, right, _ in found:
-        counts["CL", left] += 1
-        counts["CR", right] += 1
-    return found
+    return _word_before(tail, last.start(), 0) + last.group(1) + last.group(2) if last and last.end(2) >= len(tail) else (tail[-30:].split() or [""])[-1]
+
+
+class _Seen:
+    """Certain events and open gaps of lines; words are counted as they stand and brought to their form once each."""
+
+    def __init__(self) -> None:
+        self.words = {"OPENS": Counter(), "INSIDE": Counter(), "ENDS": Counter()}
+        self.runs: Counter = Counter()
+        self.behind: list[str] = []
+        self.behind_marks: list[str] = []
+
+    def add(self, line: str) -> None:
+        """Certain events of a line: its start, its end, the words inside that follow no closing mark; and its open gaps."""
+        item = _item(line)
+        first = item.end() if item else 0
+        words = line[first:].split()
+        if not words:
+            return
+        if not item:
+            self.words["OPENS"][words[0]] += 1
+        if "_" in line or _spaceless(line):
+            self.behind += [b for a, b in pairwise(words) if (a[-1].isalnum() or a[-1] in ",;:") and not _SPACELESS.search(a[-1] + b[0])]
+        else:  # all words but the first, less those behind other marks
+            self.behind += words[1:]
+            self.behind_marks += _BEHIND_MARK.findall(line, first)
+        if len(self.behind) > HELD:
+            self.count_behind()
+        self.words["ENDS"][_last_word(line)] += 1
+        for run in _runs(_candidates(line)):
+            self.runs[run] += 1
+
+    def count_behind(self) -> None:
+        self.words["INSIDE"].update(self.behind)
+        self.words["INSIDE"].subtract(self.behind_marks)
+        self.behind.clear()
+        self.behind_marks.clear()
+
+    def size(self) -> int:
+        return len(self.runs) + sum(map(len, self.words.values()))
+
+    def known(self) -> Counter:
+        self.count_behind()
+        counts: Counter = Counter()
+        for kind, found in self.words.items():
+            form = _norm_left if kind == "ENDS" else _norm_right
+            for word, n in found.items():
+                if n:
+                    counts[kind, form(word)] += n
+        for run, n in self.runs.items():
+            for left, right in zip(run[::2], run[1::2]):
+                counts["CL", left] += n
+                counts["CR", right] += n
+        return counts
 
 
 Keys = dict[tuple[str, ...], float]
@@ -322,30 +442,28 @@ def _batch(known: bool, counts: Keys) -> pa.RecordBatch:
 
 
 def _events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Certain events of the lines, and the gaps of each line (left and right word, words between), with their numbers."""
-    known, open_gaps = Counter(), Counter()
+    """Certain events of the lines, and the runs of gaps of each line, with their numbers."""
+    seen = _Seen()
     for batch in batches:
         for text in batch.column(0).to_pylist():
             for _, line in _lines(text or ""):
-                found = _known(line, known)
-                if found:
-                    open_gaps[tuple(x for _, _, left, right, between in found for x in (left, right, str(between)))] += 1
-        if len(known) + len(open_gaps) > HELD:
-            yield _batch(True, known)
-            yield _batch(False, open_gaps)
-            known, open_gaps = Counter(), Counter()
-    yield _batch(True, known)
-    yield _batch(False, open_gaps)
+                seen.add(line)
+        if seen.size() > HELD:
+            yield _batch(True, seen.known())
+            yield _batch(False, seen.runs)
+            seen = _Seen()
+    yield _batch(True, seen.known())
+    yield _batch(False, seen.runs)
 
 
 def _expected(rows: list[tuple[list[str], float]], model: BoundaryModel, guess: bool) -> Counter:
-    """Expected counts of the gaps of lines, from the first guess or from the posteriors."""
+    """Expected counts of the gaps of runs, from the first guess or from the posteriors."""
     counts: Counter = Counter()
-    gaps = [[(0, 0, key[i], key[i + 1], int(key[i + 2])) for i in range(0, len(key), 3)] for key, _ in rows]
+    gaps = [_gaps(key) for key, _ in rows]
     posts = [[model.first_guess(g[2], g[3]) for g in found] for found in gaps] if guess else posteriors(model, gaps)
     for (_, n), found, post in zip(rows, gaps, posts):
-        for i, ((_, _, left, right, between), p) in enumerate(zip(found, post)):
-            context = "-" if i == 0 or between else "B" if post[i - 1] > 0.5 else "N"
+        for i, ((_, _, left, right, _), p) in enumerate(zip(found, post)):
+            context = "-" if i == 0 else "B" if post[i - 1] > 0.5 else "N"
             counts["LB", left, context] += n * p
             counts["LN", left, context] += n * (1 - p)
             counts["BR", right] += n * p
@@ -357,9 +475,9 @@ def _collected(counted: DataFrame) -> Keys:
     return {tuple(r["key"]): r["n"] for r in counted.select("key", "n").collect()}
 
 
-def _soft_counts(lines: DataFrame, model: BoundaryModel, guess: bool = False) -> Keys:
-    """Expected counts over all rows (key, n) of ``lines``."""
-    shared = lines.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+def _soft_counts(runs: DataFrame, model: BoundaryModel, guess: bool = False) -> Keys:
+    """Expected counts over all rows (key, n) of ``runs``."""
+    shared = runs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, counts = pickle.loads(shared.value), Counter()
@@ -370,7 +488,7 @@ def _soft_counts(lines: DataFrame, model: BoundaryModel, guess: bool = False) ->
                 counts = Counter()
         yield _batch(False, counts)
 
-    return _collected(lines.select("key", "n").mapInArrow(count, "known boolean, key array<string>, n double").groupBy("key").agg(F.sum("n").alias("n")))
+    return _collected(runs.select("key", "n").mapInArrow(count, "known boolean, key array<string>, n double").groupBy("key").agg(F.sum("n").alias("n")))
 
 
 def _with_certain(known: dict, soft: dict) -> dict:
@@ -402,10 +520,10 @@ def fit(texts: list[DataFrame]) -> BoundaryModel:
         every = part if every is None else every.unionByName(part)
     counted = cut(every.groupBy("known", "key").agg(F.sum("n").alias("n")))
     known = _collected(counted.where("known"))
-    lines = spread(counted.where("not known"))
-    soft = _soft_counts(lines, BoundaryModel(known), guess=True)
+    runs = spread(counted.where("not known"))
+    soft = _soft_counts(runs, BoundaryModel(known), guess=True)
     for _ in range(ROUNDS):
-        soft = _soft_counts(lines, BoundaryModel(_with_certain(known, soft)))
+        soft = _soft_counts(runs, BoundaryModel(_with_certain(known, soft)))
     kept = {k: v for k, v in _with_certain(known, soft).items() if k[0] in ("LB", "LN", "BR", "NR", "INSIDE")}
     return BoundaryModel(kept)
 
